@@ -4,12 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genai import is_llm_request, with_request_columns
-from ..schema import STATUS_ERROR
-from .filters import scoped
+from .filters import is_error, scoped
 from .ranks import disc_rank, values_at_ranks
 
-_IS_ERROR = F.col("status_code") == STATUS_ERROR
-
 
 def _ratio(part, whole):
     """Unrounded share as a double, 0.0 when there is nothing to divide by."""
@@ -40,7 +37,7 @@ def overview(spans: DataFrame, project_id=None, approximate_traces=False) -> Dat
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("total_input_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("total_output_tokens"),
         F.sort_array(F.array_remove(F.collect_set("service_name"), "")).alias("unique_services"),
-        F.count_if(_IS_ERROR).alias("_errors"),
+        F.count_if(is_error()).alias("_errors"),
     )
     return totals.select(
         "total_traces",
@@ -77,7 +74,7 @@ def status_counts(spans: DataFrame) -> DataFrame:
     """Spans and error spans per status code; only one code is an error."""
     return spans.groupBy("status_code").agg(
         F.count(F.lit(1)).alias("span_count"),
-        F.sum(F.when(_IS_ERROR, 1).otherwise(0)).alias("error_count"),
+        F.sum(F.when(is_error(), 1).otherwise(0)).alias("error_count"),
     )
 
 
@@ -113,7 +110,7 @@ def model_analytics(spans: DataFrame, project_id=None, exact_p95=False) -> DataF
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("total_input_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("total_output_tokens"),
         _wide_sum("duration_ns").cast("double").alias("_duration_ns"),
-        F.count_if(_IS_ERROR).alias("error_count"),
+        F.count_if(is_error()).alias("error_count"),
     ]
     if exact_p95:
         p95 = model_p95(spans, project_id, exact=True).withColumnRenamed("model", "_model")

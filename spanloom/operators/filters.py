@@ -6,6 +6,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import STATUS_ERROR
+
 
 def all_of(*predicates: Column | None) -> Column:
     """Conjunction of the given predicates; None entries do not count."""
@@ -17,6 +19,10 @@ def equals(column: str, value: str | None) -> Column | None:
     return F.col(column) == F.lit(value) if value else None
 
 
+def is_error() -> Column:
+    return F.col("status_code") == STATUS_ERROR
+
+
 def scoped(spans: DataFrame, project_id=None, service=None) -> DataFrame:
     """Rows of one project and one service. Filters come before any grouping,
     so counts and durations of a filtered list cover the matching spans only."""

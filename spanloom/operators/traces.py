@@ -4,10 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import duration_label, status_badge
-from ..schema import SPAN, STATUS_ERROR
-from .filters import all_of, checked_limit, equals, scoped
-
-_IS_ERROR = F.col("status_code") == STATUS_ERROR
+from ..schema import SPAN
+from .filters import all_of, checked_limit, equals, is_error, scoped
 
 
 def _service_set():
@@ -26,7 +24,7 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
         F.max("service_name").alias("service_name"),
         _service_set().alias("services"),
         F.max("project_id").alias("project_id"),
-        F.count_if(_IS_ERROR).alias("error_count"),
+        F.count_if(is_error()).alias("error_count"),
     )
 
 
@@ -61,7 +59,7 @@ def trace_header(spans: DataFrame) -> DataFrame:
             F.max("end_time_unix_nano") - F.min("start_time_unix_nano"), F.lit(1).cast("bigint")
         ).alias("wall_clock_ns"),
         F.sum("duration_ns").alias("aggregate_ns"),
-        F.count_if(_IS_ERROR).alias("error_count"),
+        F.count_if(is_error()).alias("error_count"),
         _service_set().alias("services"),
     )
 

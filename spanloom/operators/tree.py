@@ -255,14 +255,23 @@ def _small_trees(spans: DataFrame) -> DataFrame:
 # --- traces of any size -----------------------------------------------------
 
 
-def _climbed(links: DataFrame, fold: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+Fold = dict[str, Callable[[Column, Column], Column]]
+
+
+def _climbed(links: DataFrame, fold: Fold, gather: str | None = None) -> DataFrame:
     """Fold columns from each span to its root by pointer doubling.
 
-    links has NODE, up (NULL at a root), top and the columns to fold. The right
-    side of each join has one row per key, so where many rows share an ancestor
-    adaptive execution can split the left side. While any row off the cycles is
-    open, each round finishes some; once the number of open rows stands still,
-    they all lie on or below a cycle, and they keep a non-NULL up.
+    links has NODE, up (NULL at a root) and the columns of fold, which combine a
+    span's value with that of the ancestor it points to. gather names a column
+    that works the other way: it is summed over all descendants. After k rounds
+    it holds the sum over less than 2^k levels, and the ancestor 2^k levels up
+    takes that over. Sums are taken per ancestor before the join, so a span with
+    very many descendants meets one row.
+
+    The right side of each join has one row per key, so where many rows share an
+    ancestor adaptive execution can split the left side. While any row off the
+    cycles is open, each round finishes some; once the number of open rows
+    stands still, they all lie on or below a cycle, and they keep a non-NULL up.
     """
     before = None
     while True:
@@ -272,118 +281,93 @@ def _climbed(links: DataFrame, fold: dict[str, Callable[[Column, Column], Column
         before = still_open
         step = links.select(
             F.col("trace_id").alias("u_trace"), F.col("span_id").alias("u_span"),
-            F.col("up").alias("u_up"), F.col("top").alias("u_top"),
-            *[F.col(c).alias(f"u_{c}") for c in fold],
+            F.col("up").alias("u_up"), *[F.col(c).alias(f"u_{c}") for c in fold],
         )
-        links = cut_lineage(
-            links.join(step, (F.col("trace_id") == F.col("u_trace")) & (F.col("up") == F.col("u_span")), "left")
-            .select(
-                *NODE,
-                F.col("u_up").alias("up"),
-                F.coalesce("u_top", "top").alias("top"),
-                *[
-                    F.when(F.col("u_span").isNull(), F.col(c)).otherwise(f(F.col(c), F.col(f"u_{c}"))).alias(c)
-                    for c, f in fold.items()
-                ],
+        joined = links.join(
+            step, (F.col("trace_id") == F.col("u_trace")) & (F.col("up") == F.col("u_span")), "left"
+        )
+        columns = {
+            c: F.when(F.col("u_span").isNull(), F.col(c)).otherwise(f(F.col(c), F.col(f"u_{c}")))
+            for c, f in fold.items()
+        }
+        if gather:
+            gained = (
+                links.where(F.col("up").isNotNull())
+                .groupBy(F.col("trace_id").alias("g_trace"), F.col("up").alias("g_span"))
+                .agg(F.sum(gather).alias("gain"))
+            )
+            joined = joined.join(
+                gained, (F.col("trace_id") == F.col("g_trace")) & (F.col("span_id") == F.col("g_span")), "left"
             )
+            columns[gather] = F.col(gather) + F.coalesce("gain", F.lit(0))
+        links = cut_lineage(
+            joined.select(*NODE, F.col("u_up").alias("up"), *[c.alias(n) for n, c in columns.items()])
         )
 
 
 def _large_trees(nodes: DataFrame) -> DataFrame:
     """The columns of _small_trees without ever gathering a trace."""
+    parents = nodes.select(
+        F.col("trace_id").alias("p_trace"), F.col("span_id").alias("p_span"), F.col("collapsed").alias("p_mark")
+    )
     nodes = cut_lineage(
-        nodes.join(_ids(nodes), _to_parent(), "left")
-        .withColumn("parent_span_id", F.col("p_span"))
-        .drop("p_trace", "p_span")
+        nodes.join(parents, _to_parent(), "left").select(
+            *NODE,
+            "start_time_unix_nano",
+            F.col("p_span").alias("parent_span_id"),
+            F.coalesce("p_mark", F.lit(False)).alias("below_mark"),
+        )
     )
-    parent_mark = nodes.select(
-        F.col("trace_id").alias("p_trace"), F.col("span_id").alias("p_span"), F.col("collapsed").alias("p_mark")
+    has_parent = F.col("parent_span_id").isNotNull().cast("bigint")
+    nearest_top = F.coalesce("parent_span_id", "span_id")
+    climbed = _climbed(
+        nodes.select(
+            *NODE,
+            F.col("parent_span_id").alias("up"),
+            nearest_top.alias("root_span_id"),
+            has_parent.alias("depth"),
+            F.col("below_mark").alias("ancestor_collapsed"),
+            F.lit(1).cast("bigint").alias("subtree_size"),
+        ),
+        {
+            "root_span_id": lambda own, above: above,
+            "depth": lambda own, above: own + above,
+            "ancestor_collapsed": lambda own, above: own | above,
+        },
+        gather="subtree_size",
     )
-    links = nodes.join(parent_mark, _to_parent(), "left").select(
-        *NODE,
-        F.col("parent_span_id").alias("up"),
-        F.coalesce("parent_span_id", "span_id").alias("top"),
-        F.col("parent_span_id").isNotNull().cast("bigint").alias("depth"),
-        F.coalesce("p_mark", F.lit(False)).alias("above"),
+    kids = (
+        nodes.where(F.col("parent_span_id").isNotNull())
+        .groupBy("trace_id", F.col("parent_span_id").alias("span_id"))
+        .agg(F.count(F.lit(1)).alias("child_count"))
     )
-    depths = _climbed(
-        cut_lineage(links), {"depth": lambda a, b: a + b, "above": lambda a, b: a | b}
-    ).select(
-        *NODE, F.col("up").isNull().alias("alive"), F.col("top").alias("root_span_id"), "depth",
-        F.col("above").alias("ancestor_collapsed"),
+    placed = cut_lineage(
+        nodes.join(climbed, NODE).join(kids, NODE, "left").withColumn("alive", F.col("up").isNull())
     )
-    placed = cut_lineage(nodes.join(depths, NODE))
-    sizes = _subtree_sizes(placed.where("alive"))
-    sized = cut_lineage(placed.where("alive").join(sizes, NODE))
-
-    sibling = F.coalesce("parent_span_id", F.lit(""))
     upto = running_sum(
-        sized.withColumn("_sibling", sibling),
+        placed.where("alive").withColumn("_sibling", F.coalesce("parent_span_id", F.lit(""))),
         ["trace_id", "_sibling"],
         ["start_time_unix_nano", "span_id"],
         F.col("subtree_size"),
         "_upto",
     )
-    shifts = upto.select(
+    # own place among the siblings; summed with that of all ancestors it is the pre-order
+    shift = F.col("_upto") - F.col("subtree_size") + has_parent
+    order = _climbed(
+        cut_lineage(upto.select(*NODE, F.col("parent_span_id").alias("up"), shift.alias("preorder"))),
+        {"preorder": lambda own, above: own + above},
+    ).select(*NODE, "preorder")
+    alive = lambda column: F.when(F.col("alive"), F.col(column)).alias(column)
+    return placed.join(order, NODE, "left").select(
         *NODE,
-        F.col("parent_span_id").alias("up"),
-        F.coalesce("parent_span_id", "span_id").alias("top"),
-        (F.col("_upto") - F.col("subtree_size") + F.col("parent_span_id").isNotNull().cast("bigint")).alias(
-            "preorder"
-        ),
-    )
-    order = _climbed(cut_lineage(shifts), {"preorder": lambda a, b: a + b}).select(*NODE, "preorder")
-    kids = (
-        nodes.where(F.col("parent_span_id").isNotNull())
-        .groupBy("trace_id", F.col("parent_span_id").alias("span_id"))
-        .agg(F.count(F.lit(1)).alias("child_count"))
+        "parent_span_id",
+        alive("root_span_id"),
+        alive("depth"),
+        F.coalesce("child_count", F.lit(0)).cast("bigint").alias("child_count"),
+        "preorder",
+        alive("subtree_size"),
+        alive("ancestor_collapsed"),
     )
-    alive = F.col("alive")
-    return (
-        placed.join(sizes, NODE, "left")
-        .join(order, NODE, "left")
-        .join(kids, NODE, "left")
-        .select(
-            *NODE,
-            "parent_span_id",
-            F.when(alive, F.col("root_span_id")).alias("root_span_id"),
-            F.when(alive, F.col("depth")).alias("depth"),
-            F.coalesce("child_count", F.lit(0)).cast("bigint").alias("child_count"),
-            "preorder",
-            "subtree_size",
-            F.when(alive, F.col("ancestor_collapsed")).alias("ancestor_collapsed"),
-        )
-    )
-
-
-def _subtree_sizes(placed: DataFrame) -> DataFrame:
-    """Number of spans at or below each span, again by doubling.
-
-    After k rounds a span has counted everything less than 2^k levels below it;
-    its ancestor 2^k levels up then takes that count over. Counts are summed per
-    ancestor before they are joined, so a span with very many descendants meets
-    one row.
-    """
-    state = cut_lineage(placed.select(*NODE, F.col("parent_span_id").alias("up"), F.lit(1).cast("bigint").alias("size")))
-    while not state.where(F.col("up").isNotNull()).isEmpty():
-        gained = (
-            state.where(F.col("up").isNotNull())
-            .groupBy(F.col("trace_id").alias("g_trace"), F.col("up").alias("g_span"))
-            .agg(F.sum("size").alias("gain"))
-        )
-        step = state.select(
-            F.col("trace_id").alias("u_trace"), F.col("span_id").alias("u_span"), F.col("up").alias("u_up")
-        )
-        state = cut_lineage(
-            state.join(gained, (F.col("trace_id") == F.col("g_trace")) & (F.col("span_id") == F.col("g_span")), "left")
-            .join(step, (F.col("trace_id") == F.col("u_trace")) & (F.col("up") == F.col("u_span")), "left")
-            .select(
-                *NODE,
-                F.col("u_up").alias("up"),
-                (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"),
-            )
-        )
-    return state.select(*NODE, F.col("size").alias("subtree_size"))
 
 
 # --- public -----------------------------------------------------------------

@@ -14,6 +14,7 @@ def local_session(cores="*", app="spanloom", **conf) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.parquet.compression.codec": "zstd",
         **conf,
