@@ -1 +1,8 @@
 """Trace analytics for LLM applications as plain Spark DataFrame functions."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
