@@ -56,10 +56,17 @@ def attribute_map(json: Column | str) -> Column:
     return F.coalesce(parsed, raw)
 
 
+def _array(json: Column | str, layout: str) -> Column:
+    json = F.col(json) if isinstance(json, str) else json
+    # a lone object would parse as an array of one
+    parsed = F.when(F.ltrim(json).startswith("["), F.from_json(json, layout))
+    return F.coalesce(parsed, F.array().cast(layout))
+
+
 def events_array(json: Column | str) -> Column:
     """Typed span events; anything that is no JSON array is the empty array."""
-    return F.coalesce(F.from_json(json, EVENTS), F.array().cast(EVENTS))
+    return _array(json, EVENTS)
 
 
 def links_array(json: Column | str) -> Column:
-    return F.coalesce(F.from_json(json, LINKS), F.array().cast(LINKS))
+    return _array(json, LINKS)

@@ -75,7 +75,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_exports(spans: DataFrame, position: str) -> DataFrame:
     """One export per span: source_file, position in the segment, payload."""
-    return spans.withColumn("position", spans[position]).mapInArrow(
+    # a small table is one scan task; encoding is worth spreading
+    spread = spans.withColumn("position", spans[position]).repartition("trace_id")
+    return spread.mapInArrow(
         _encode, "source_file string, position bigint, payload binary"
     )
 

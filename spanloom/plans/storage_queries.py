@@ -417,12 +417,12 @@ _FAULTS = {
     "authorization": "CASE WHEN event_id % 10 = 5 THEN 'Bearer wrong' WHEN event_id % 10 = 8 THEN NULL WHEN event_id % 10 = 9 THEN 's3cret' ELSE 'Bearer s3cret' END",
     "api_key": "CASE WHEN event_id % 20 = 8 THEN 's3cret' END",
 }
-_FAULT_COLUMNS = ", ".join(f"{v} AS {k}" for k, v in _FAULTS.items())
+_FAULT_COLUMNS = ", ".join(f'{v} AS "{k}"' for k, v in _FAULTS.items())
 _OUTCOME_SQL = f"""{SPANS}, raw AS (SELECT event_id, {_FAULT_COLUMNS} FROM spans),
     judged AS (SELECT event_id, method, path, CASE
       WHEN method = 'GET' AND path = '/healthz' THEN 'health'
       WHEN method <> 'POST' OR path <> '/v1/traces' THEN 'not found'
-      WHEN NOT (coalesce(authorization IN ('Bearer s3cret', 's3cret'), false) OR coalesce(api_key = 's3cret', false)) THEN 'unauthorized'
+      WHEN NOT (coalesce("authorization" IN ('Bearer s3cret', 's3cret'), false) OR coalesce(api_key = 's3cret', false)) THEN 'unauthorized'
       WHEN coalesce(split_part(content_type, ';', 1), '') <> 'application/x-protobuf' THEN 'unsupported media type'
       WHEN event_id % 10 = 6 THEN 'empty body'
       WHEN event_id % 10 = 7 THEN 'malformed export'

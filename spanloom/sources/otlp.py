@@ -105,6 +105,7 @@ DECODED = (
 )
 _LAST_NANO = 2**63 - 1
 _BATCH_SPANS = 10_000
+_REMEMBERED = 10_000
 
 
 def message_types() -> dict:
@@ -168,57 +169,56 @@ def _attribute_reader():
 
 def _first_label(attributes: dict, keys) -> str | None:
     """Text of the first key with a value that is neither empty, zero nor false."""
-    found = next((attributes[k] for k in keys if attributes.get(k)), None)
-    return None if found is None else str(found)
+    for key in keys:
+        if found := attributes.get(key):
+            return str(found)
+    return None
 
 
-class _Columns:
-    """Grows nested Arrow columns: flat value lists and the list offsets over them."""
+class _Exports:
+    """Rows of each level and the list offsets over them, as nested Arrow columns."""
 
     def __init__(self):
-        self.records, self.resources, self.scopes = [], [], []
-        self.spans = [[] for _ in _SPAN_FIELDS]
+        self.records, self.resources, self.scopes, self.spans = [], [], [], []
         # one offset per finished list: spans of scopes, scopes of resources, resources of records
         self.span_ends, self.scope_ends, self.resource_ends = [0], [0], [0]
 
-    def mark(self):
-        return [len(c) for c in self._all()]
+    def levels(self):
+        return self.resources, self.scopes, self.spans, self.span_ends, self.scope_ends
 
-    def _all(self):
-        return [self.resources, self.scopes, self.span_ends, self.scope_ends, *self.spans]
+    def mark(self):
+        return tuple(map(len, self.levels()))
 
     def undo(self, mark):
-        for column, length in zip(self._all(), mark):
-            del column[length:]
+        for rows, length in zip(self.levels(), mark):
+            del rows[length:]
 
     def end_record(self, source_file, source_offset, reason):
         self.records.append((source_file, source_offset, reason))
         self.resource_ends.append(len(self.resources))
 
     def batch(self) -> pa.RecordBatch:
+        def arrays(rows, types):
+            columns = zip(*rows) if rows else [[]] * len(types)
+            return [pa.array(c, t) for c, t in zip(columns, types)]
+
         def lists(ends, values):
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-        def struct(columns, names, types):
-            return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-        def across(rows, width):
-            return list(zip(*rows)) if rows else [[]] * width
-
         text = pa.string()
-        spans = struct(self.spans, [n for n, _, _ in _SPAN_FIELDS], [t for _, _, t in _SPAN_FIELDS])
+        spans = pa.StructArray.from_arrays(
+            arrays(self.spans, [t for _, _, t in _SPAN_FIELDS]), [n for n, _, _ in _SPAN_FIELDS]
+        )
         scopes = pa.StructArray.from_arrays(
-            [*[pa.array(c, text) for c in across(self.scopes, 2)], lists(self.span_ends, spans)],
+            [*arrays(self.scopes, [text] * 2), lists(self.span_ends, spans)],
             ["scope_name", "scope_version", "spans"],
         )
         resources = pa.StructArray.from_arrays(
-            [*[pa.array(c, text) for c in across(self.resources, 3)], lists(self.scope_ends, scopes)],
+            [*arrays(self.resources, [text] * 3), lists(self.scope_ends, scopes)],
             ["resource_attributes_json", "service_name", "project_id", "scope_spans"],
         )
-        files, offsets, reasons = across(self.records, 3)
         return pa.record_batch(
-            [pa.array(files, text), pa.array(offsets, pa.int64()), pa.array(reasons, text),
-             lists(self.resource_ends, resources)],
+            [*arrays(self.records, [text, pa.int64(), text]), lists(self.resource_ends, resources)],
             ["source_file", "source_offset", "corrupt_reason", "resource_spans"],
         )
 
@@ -251,34 +251,43 @@ def _decoder(project_keys):
                 "flags": k.flags,
             }
 
+        known = {}  # few resources send most exports
+
+        def resource_row(resource):
+            key = resource.SerializeToString()
+            if key not in known:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                shared = attributes(resource.attributes)
+                known[key] = (
+                    dumps(shared), _first_label(shared, ("service.name",)), _first_label(shared, project_keys)
+                )
+            return known[key]
+
+        def span_row(s):
+            own = attributes(s.attributes)
+            start, end = s.start_time_unix_nano, s.end_time_unix_nano
+            if start > _LAST_NANO or end > _LAST_NANO:
+                raise OverflowError("span time beyond 63 bits")
+            return (
+                s.trace_id, s.span_id, s.parent_span_id, s.name, s.kind, _first_label(own, project_keys),
+                start, end, s.status.code, s.status.message, s.trace_state, s.flags,
+                dumps(own) if own else "{}",
+                dumps([event(e) for e in s.events]) if s.events else "[]",
+                dumps([link(k) for k in s.links]) if s.links else "[]",
+                s.dropped_attributes_count, s.dropped_events_count, s.dropped_links_count,
+            )
+
         def add(out, request):
             for resource in request.resource_spans:
-                shared = attributes(resource.resource.attributes)
                 for scope in resource.scope_spans:
-                    for s in scope.spans:
-                        if s.start_time_unix_nano > _LAST_NANO or s.end_time_unix_nano > _LAST_NANO:
-                            raise OverflowError("span time beyond 63 bits")
-                        own = attributes(s.attributes)
-                        row = (
-                            s.trace_id, s.span_id, s.parent_span_id, s.name, s.kind,
-                            _first_label(own, project_keys),
-                            s.start_time_unix_nano, s.end_time_unix_nano,
-                            s.status.code, s.status.message, s.trace_state, s.flags,
-                            dumps(own) if own else "{}",
-                            dumps([event(e) for e in s.events]) if s.events else "[]",
-                            dumps([link(k) for k in s.links]) if s.links else "[]",
-                            s.dropped_attributes_count, s.dropped_events_count, s.dropped_links_count,
-                        )
-                        for column, cell in zip(out.spans, row):
-                            column.append(cell)
+                    out.spans.extend(map(span_row, scope.spans))
                     out.scopes.append((scope.scope.name, scope.scope.version))
-                    out.span_ends.append(len(out.spans[0]))
-                out.resources.append(
-                    (dumps(shared), _first_label(shared, ["service.name"]), _first_label(shared, project_keys))
-                )
+                    out.span_ends.append(len(out.spans))
+                out.resources.append(resource_row(resource.resource))
                 out.scope_ends.append(len(out.scopes))
 
-        out = _Columns()
+        out = _Exports()
         for batch in batches:
             columns = [batch.column(n) for n in ("source_file", "source_offset", "payload", "corrupt_reason")]
             for source_file, source_offset, payload, reason in zip(*[c.to_pylist() for c in columns]):
@@ -290,9 +299,9 @@ def _decoder(project_keys):
                         out.undo(mark)
                         reason = f"malformed OTLP export: {error}"
                 out.end_record(source_file, source_offset, reason)
-                if len(out.spans[0]) >= _BATCH_SPANS or len(out.records) >= _BATCH_SPANS:
+                if len(out.spans) >= _BATCH_SPANS or len(out.records) >= _BATCH_SPANS:
                     yield out.batch()
-                    out = _Columns()
+                    out = _Exports()
         if out.records:
             yield out.batch()
 

@@ -28,7 +28,7 @@ from ..session import local_path
 
 MAX_RECORD_BYTES = 64 * 1024 * 1024
 SPLIT_BYTES = 128 * 1024 * 1024
-_SMALLEST_SPLIT = 4 * 1024 * 1024
+_SMALLEST_SPLIT = 1024 * 1024
 _BATCH_BYTES, _BATCH_ROWS = 8 * 1024 * 1024, 10_000
 _HEADER, _HEADER_BYTES = "<II", 8
 _ARROW = pa.schema([
@@ -68,12 +68,13 @@ class _Folder:
     """The segment folder on whatever file system its URI names."""
 
     def __init__(self, options):
+        options = {k.lower(): v for k, v in options.items()}
         path = local_path(options["path"])
         path = path.replace("s3a://", "s3://", 1)
         self.fs, self.root = arrow_fs.FileSystem.from_uri(path)
-        self.max_record = int(options.get("maxRecordBytes", MAX_RECORD_BYTES))
+        self.max_record = int(options.get("maxrecordbytes", MAX_RECORD_BYTES))
         self.strict = str(options.get("strict", "false")).lower() == "true"
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.parallelism = int(options.get("parallelism", 1))
 
     def segments(self) -> list[tuple[str, int]]:

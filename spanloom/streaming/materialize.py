@@ -89,6 +89,6 @@ def materialize_available(spark: SparkSession, wal_path: str, lake: str, **optio
 def progress_offsets(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """How far each segment is read, from the progress of the query."""
     progress = query.lastProgress
-    ends = progress["sources"][0]["endOffset"] if progress else {}
-    ends = json.loads(ends) if isinstance(ends, str) else ends
+    # the raw JSON: the parsed object turns offsets into Python text
+    ends = json.loads(progress.json)["sources"][0]["endOffset"] if progress else {}
     return spark.createDataFrame(list((ends or {}).items()), "source_file string, max_offset bigint")
