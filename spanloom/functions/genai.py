@@ -41,8 +41,23 @@ def request_columns(attributes: Column | str = "attributes_json") -> Column:
     return json_fields(attributes, [REQUEST_MODEL, REQUEST_SYSTEM, INPUT_TOKENS, OUTPUT_TOKENS])
 
 
+# Columns in which the lake keeps the request values beside the JSON they come from.
+PROMOTED = {
+    "model": "gen_ai_model",
+    "system": "gen_ai_system",
+    "input_tokens": "gen_ai_input_tokens",
+    "output_tokens": "gen_ai_output_tokens",
+}
+
+
 def with_request_columns(spans):
-    """Add model, system, input_tokens and output_tokens as columns."""
+    """Add model, system, input_tokens and output_tokens as columns.
+
+    Spans of the lake carry them already; then no JSON is read or parsed, and
+    predicates on them reach the Parquet scan.
+    """
+    if set(PROMOTED.values()) <= set(spans.columns):
+        return spans.withColumns({name: F.col(kept) for name, kept in PROMOTED.items()})
     return (
         spans.withColumn("_request", request_columns())
         .withColumns({
@@ -55,6 +70,13 @@ def with_request_columns(spans):
     )
 
 
+def with_promoted(spans):
+    """Add the columns that the lake keeps, unless they are there."""
+    if set(PROMOTED.values()) <= set(spans.columns):
+        return spans
+    return with_request_columns(spans).withColumnsRenamed(PROMOTED)
+
+
 def is_llm_request(model: Column, system: Column, name: Column) -> Column:
     return model.isNotNull() | system.isNotNull() | name.like("%llm%") | name.like("%generate%")
 

@@ -80,9 +80,7 @@ def status_counts(spans: DataFrame) -> DataFrame:
 
 def model_spans(spans: DataFrame, project_id=None) -> DataFrame:
     """Spans that name a request model; an empty model name counts as one."""
-    return with_request_columns(
-        scoped(spans, project_id).select("attributes_json", "duration_ns", "status_code")
-    ).where(F.col("model").isNotNull())
+    return with_request_columns(scoped(spans, project_id)).where(F.col("model").isNotNull())
 
 
 def model_p95(spans: DataFrame, project_id=None, exact=False) -> DataFrame:

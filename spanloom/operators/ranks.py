@@ -30,6 +30,22 @@ def split_by_size(df: DataFrame, keys: list[str], limit: int = LARGE_KEY_ROWS):
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 
+def join_aggregate(rows: DataFrame, aggregate: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with an aggregation that has one row per key, whatever a key's size.
+
+    Adaptive execution splits a key with very many rows only when both sides of
+    the join come straight from a shuffle. An aggregation by the join keys does
+    not, since its own shuffle already fits. The additional key, a function of
+    the first one, makes Spark shuffle the small aggregated side once more.
+    """
+    again = F.length(keys[0])
+    return (
+        rows.withColumn("_again", again)
+        .join(aggregate.withColumn("_again", again), [*keys, "_again"], how)
+        .drop("_again")
+    )
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Inclusive running sum per key for keys of any size.
 
@@ -61,16 +77,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, limit: int = LARGE_KEY_ROWS) -> DataFrame:
-    """1-based row number per key: a plain window for ordinary keys, slices for large ones."""
-    small, large = split_by_size(df, keys, limit)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    result = small.withColumn(name, F.row_number().over(window).cast("bigint"))
-    if large is None:
-        return result
-    return result.unionByName(running_sum(large, keys, order, F.lit(1).cast("bigint"), name))
-
-
 def values_at_ranks(
     df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import events_array
+from .ranks import join_aggregate
 from .traces import trace_header
 
 NARROWEST_BAR = 0.005  # fixed value: bars of very short spans stay visible
@@ -25,8 +26,9 @@ def waterfall(spans: DataFrame) -> DataFrame:
         F.lit(NARROWEST_BAR), F.least(F.lit(1.0) - F.col("offset_ratio"), F.col("duration_ns") / wall)
     )
     return (
-        spans.select("trace_id", "span_id", "start_time_unix_nano", "duration_ns")
-        .join(bounds, "trace_id")
+        join_aggregate(
+            spans.select("trace_id", "span_id", "start_time_unix_nano", "duration_ns"), bounds, ["trace_id"]
+        )
         .select("*", relative.alias("relative_start_ns"), offset.alias("offset_ratio"))
         .select(
             "trace_id",

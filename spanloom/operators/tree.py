@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import non_empty
 from ..session import cut_lineage
-from .ranks import LARGE_KEY_ROWS, numbered, running_sum, split_by_size
+from .ranks import LARGE_KEY_ROWS, join_aggregate, running_sum, split_by_size
 
 NODE = ["trace_id", "span_id"]
 TREE_SCHEMA = (
@@ -56,21 +56,18 @@ def _to_parent():
 def parent_child(spans: DataFrame) -> DataFrame:
     """Every span beside its parent; parent columns are NULL for roots and orphans."""
     parents = latest_spans(spans, "name", "start_time_unix_nano").select(
-        F.col("trace_id").alias("p_trace"),
-        F.col("span_id").alias("p_span"),
+        "trace_id",
+        F.col("span_id").alias("parent_span_id"),
         F.col("name").alias("parent_name"),
         F.col("start_time_unix_nano").alias("parent_start"),
     )
-    return (
-        _with_parent(spans)
-        .join(parents, _to_parent(), "left")
-        .select(
-            *NODE,
-            "name",
-            F.col("p_span").alias("parent_span_id"),
-            "parent_name",
-            (F.col("start_time_unix_nano") - F.col("parent_start")).alias("start_after_parent_ns"),
-        )
+    named = _with_parent(spans).select(*NODE, "parent_span_id", "name", "start_time_unix_nano")
+    return join_aggregate(named, parents, ["trace_id", "parent_span_id"], "left").select(
+        *NODE,
+        "name",
+        F.when(F.col("parent_start").isNotNull(), F.col("parent_span_id")).alias("parent_span_id"),
+        "parent_name",
+        (F.col("start_time_unix_nano") - F.col("parent_start")).alias("start_after_parent_ns"),
     )
 
 
@@ -99,17 +96,24 @@ def children(spans: DataFrame, limit: int = LARGE_KEY_ROWS) -> DataFrame:
     The children stay rows instead of one list per parent: a list has to fit
     into one task, and a parent may have any number of children.
     """
-    edges = (
+    siblings = ["trace_id", "parent_span_id"]
+    order = ["start_time_unix_nano", "child_span_id"]
+    named = (
         _with_parent(spans)
         .where(F.col("parent_span_id").isNotNull())
-        .join(_ids(spans), _to_parent(), "left_semi")
-        .select(
-            "trace_id", "parent_span_id", F.col("span_id").alias("child_span_id"), "start_time_unix_nano"
-        )
+        .select(*siblings, F.col("span_id").alias("child_span_id"), "start_time_unix_nano")
     )
-    order = ["start_time_unix_nano", "child_span_id"]
-    ranked = numbered(edges, ["trace_id", "parent_span_id"], order, "child_rank", limit)
-    return ranked.select("trace_id", "parent_span_id", "child_span_id", "child_rank")
+
+    def present(edges):
+        return edges.join(_ids(spans), _to_parent(), "left_semi")
+
+    small, large = split_by_size(named, siblings, limit)
+    window = Window.partitionBy(*siblings).orderBy(*order)
+    ranked = present(small).withColumn("child_rank", F.row_number().over(window).cast("bigint"))
+    if large is not None:
+        one = F.lit(1).cast("bigint")
+        ranked = ranked.unionByName(running_sum(present(large), siblings, order, one, "child_rank"))
+    return ranked.select(*siblings, "child_span_id", "child_rank")
 
 
 # --- traces that fit a task -------------------------------------------------

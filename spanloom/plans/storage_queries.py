@@ -191,14 +191,14 @@ _DECODED_COLUMNS = """trace_id, span_id, nullif(parent_span_id, '') AS parent_sp
       dropped_links_count, source_file"""
 
 
-def _export_segments(spark, sf):
+def export_segments(spark, sf):
     return write_segments(encode_exports(event_spans(spark, sf, keep_event_id=True), "event_id"), "exports")
 
 
 @query("normalize_spans", f"{SPANS} SELECT {_DECODED_COLUMNS} FROM spans")
 def _(spark, sf):
     # offsets depend on encoded sizes, which plain SQL cannot tell
-    return normalize_spans(read_wal(spark, _export_segments(spark, sf))).drop("source_offset")
+    return normalize_spans(read_wal(spark, export_segments(spark, sf))).drop("source_offset")
 
 
 @query(
@@ -209,7 +209,7 @@ def _(spark, sf):
     FROM spans GROUP BY ALL""",
 )
 def _(spark, sf):
-    decoded = decode_exports(read_wal(spark, _export_segments(spark, sf)))
+    decoded = decode_exports(read_wal(spark, export_segments(spark, sf)))
     resource = decoded.select("source_file", "source_offset", F.explode("resource_spans").alias("r"))
     scopes = resource.select("*", F.explode("r.scope_spans").alias("s"))
     return scopes.groupBy("source_file", "r.service_name", "r.project_id", "r.resource_attributes_json").agg(
@@ -227,7 +227,7 @@ def _(spark, sf):
 
 @query("materialize", f"{SPANS} SELECT {_DECODED_COLUMNS} FROM spans")
 def _(spark, sf):
-    wal, lake = _export_segments(spark, sf), scratch_path(spark, "lake")
+    wal, lake = export_segments(spark, sf), scratch_path(spark, "lake")
     materialize_available(spark, wal, lake)
     return lakes.committed_spans(spark, lake).drop("source_offset")
 

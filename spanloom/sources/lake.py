@@ -20,11 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.genai import with_promoted
 from ..operators.lakefiles import COMMITTED, COMPACTED, committed_files, compaction_plan, current_manifest
 from ..schema import CORRUPTION, MANIFEST, SPAN
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
-_LAYOUT = T.StructType(SPAN.fields + [
+_LAKE = T.StructType(SPAN.fields + [
+    T.StructField("gen_ai_model", T.StringType()),
+    T.StructField("gen_ai_system", T.StringType()),
+    T.StructField("gen_ai_input_tokens", T.LongType()),
+    T.StructField("gen_ai_output_tokens", T.LongType()),
+])
+_LAYOUT = T.StructType(_LAKE.fields + [
     T.StructField("commit", T.StringType()), T.StructField("start_date", T.DateType()),
 ])
 
@@ -79,11 +86,13 @@ def write_commit(spans: DataFrame, lake: str, name: str, max_records_per_file: i
     """Write span files of a commit without making them visible. Returns the rows.
 
     Rows stay in the tasks that produced them and are only sorted there: a
-    micro-batch is not worth a shuffle, compaction clusters later.
+    micro-batch is not worth a shuffle, compaction clusters later. The model
+    request values are parsed out of the JSON once, here, and kept as columns.
     """
     path = f"{lake}/spans/commit={name}"
     (
-        spans.withColumn(
+        with_promoted(spans)
+        .withColumn(
             "start_date",
             F.timestamp_micros(F.call_function("div", F.col("start_time_unix_nano"), F.lit(1000))).cast("date"),
         )
@@ -119,29 +128,26 @@ def _commit_rows(spark: SparkSession, lake: str, names: list[str]) -> DataFrame:
     return _table(spark, f"{lake}/spans", _LAYOUT).where(F.col("commit").isin(names))
 
 
-def committed_spans(spark: SparkSession, lake: str) -> DataFrame:
-    """The canonical span columns of everything the manifest commits.
+def lake_spans(spark: SparkSession, lake: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Everything the manifest commits: the canonical columns and the kept request values.
 
     The list of commits is fixed when this is called, so a query sees one state
-    of the lake. It is metadata: compaction keeps it short. start_date stays
-    available to filters as a partition column before the final selection, see
-    spans_between.
+    of the lake. It is metadata: compaction keeps it short. With days given,
+    folders of other days are not read.
     """
-    return _live(spark, lake).select(*SPAN.fieldNames())
-
-
-def spans_between(spark: SparkSession, lake: str, first_day: str, last_day: str) -> DataFrame:
-    """Committed spans that start on the given days; other days' folders are not read."""
-    return (
-        _live(spark, lake)
-        .where(F.col("start_date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
-        .select(*SPAN.fieldNames())
-    )
+    live = current_manifest(manifest_log(spark, lake)).where(F.col("status") == COMMITTED)
+    rows = _commit_rows(spark, lake, [row.filename for row in live.select("filename").collect()])
+    day = F.col("start_date")
+    if first_day:
+        rows = rows.where(day >= F.lit(first_day).cast("date"))
+    if last_day:
+        rows = rows.where(day <= F.lit(last_day).cast("date"))
+    return rows.select(*_LAKE.fieldNames())
 
 
-def _live(spark: SparkSession, lake: str) -> DataFrame:
-    live = current_manifest(manifest_log(spark, lake)).where(F.col("status") == COMMITTED)
-    return _commit_rows(spark, lake, [row.filename for row in live.select("filename").collect()])
+def committed_spans(spark: SparkSession, lake: str) -> DataFrame:
+    """The canonical span columns of everything the manifest commits."""
+    return lake_spans(spark, lake).select(*SPAN.fieldNames())
 
 
 def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: int = TARGET_FILE_BYTES) -> int:
@@ -162,6 +168,6 @@ def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: i
     files = max(1, -(-sum(row.size_bytes for row in chosen) // target_bytes))
     merged = _commit_rows(spark, lake, names).repartitionByRange(files, "start_date", "trace_id")
     name = f"compacted-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    rows = write_commit(merged.select(*SPAN.fieldNames()), lake, name)
+    rows = write_commit(merged.select(*_LAKE.fieldNames()), lake, name)
     _append_manifest(spark, lake, [(name, rows, COMMITTED), *[(n, 0, COMPACTED) for n in names]])
     return rows

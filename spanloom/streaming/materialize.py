@@ -17,14 +17,18 @@ _MALFORMED = "malformed"
 
 def _batch_writer(lake: str, max_records_per_file: int, project_keys, written: list[int]):
     """foreachBatch function. Order of effects: data, damage, then the manifest
-    entry that makes the batch visible; the checkpoint follows after that. A
-    replayed batch that is in the manifest already is skipped, one that is not
-    overwrites its own leftovers."""
+    entry that makes the batch visible; the checkpoint follows after that. Only
+    the first batch of a run can be a replay: if the manifest has it already it
+    is skipped, otherwise it overwrites its own leftovers."""
+    begun = False
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal begun
         spark = batch.sparkSession
         name = f"batch-{batch_id:012d}"
-        if lakes.is_committed(spark, lake, name):
+        replayed = not begun and lakes.is_committed(spark, lake, name)
+        begun = True
+        if replayed:
             return
         damaged = lakes.corruptions(spark, lake).where("ends_segment").select("source_file")
         # damage found by an earlier batch ends the segment for good
