@@ -25,28 +25,37 @@ def _wide_sum(column):
 def overview(spans: DataFrame, project_id=None, approximate_traces=False) -> DataFrame:
     """One row of totals; zeros and an empty list when there are no spans.
 
-    Everything comes from one scan of five columns. approximate_traces trades
-    the exact distinct count of traces, which shuffles one row per trace, for a
-    sketch that shuffles none.
+    The totals are summed per trace first, so the exact count of traces comes
+    from the same shuffle and all buffers are plain numbers. With
+    approximate_traces a sketch counts the traces and nothing is shuffled by
+    trace. Service names are collected on their own, from one column.
     """
-    distinct = F.approx_count_distinct if approximate_traces else F.count_distinct
-    totals = with_request_columns(scoped(spans, project_id)).agg(
-        distinct("trace_id").alias("total_traces"),
-        F.count(F.lit(1)).alias("total_spans"),
-        F.count_if(is_llm_request(F.col("model"), F.col("system"), F.col("name"))).alias("total_llm_requests"),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("total_input_tokens"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("total_output_tokens"),
-        F.sort_array(F.array_remove(F.collect_set("service_name"), "")).alias("unique_services"),
-        F.count_if(is_error()).alias("_errors"),
-    )
-    return totals.select(
+    rows = with_request_columns(scoped(spans, project_id))
+    sums = {
+        "total_spans": F.count(F.lit(1)),
+        "total_llm_requests": F.count_if(is_llm_request(F.col("model"), F.col("system"), F.col("name"))),
+        "total_input_tokens": F.sum("input_tokens"),
+        "total_output_tokens": F.sum("output_tokens"),
+        "_errors": F.count_if(is_error()),
+    }
+    named = [column.alias(name) for name, column in sums.items()]
+    if approximate_traces:
+        totals = rows.agg(F.approx_count_distinct("trace_id").alias("total_traces"), *named)
+    else:
+        totals = (
+            rows.groupBy("trace_id")
+            .agg(*named)
+            .agg(F.count(F.lit(1)).alias("total_traces"), *[F.sum(n).alias(n) for n in sums])
+        )
+    names = services(spans, project_id).agg(F.sort_array(F.collect_list("service_name"))).scalar()
+    return totals.select("total_traces", *[F.coalesce(n, F.lit(0)).alias(n) for n in sums]).select(
         "total_traces",
         "total_spans",
         "total_llm_requests",
         "total_input_tokens",
         "total_output_tokens",
         (F.col("total_input_tokens") + F.col("total_output_tokens")).alias("total_tokens"),
-        "unique_services",
+        names.alias("unique_services"),
         _ratio(F.col("_errors"), F.col("total_spans")).alias("error_rate"),
     )
 

@@ -1,6 +1,6 @@
 """Validation of raw trace exports before they are accepted."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # What the ingest endpoint speaks.
@@ -42,12 +42,23 @@ def ingest_validate(
     return exports.withColumn("outcome", outcome)
 
 
-def ingest_stats(validated: DataFrame) -> DataFrame:
-    """Counters over validated exports."""
+def _counters() -> list[Column]:
     accepted = F.col("outcome") == "accepted"
-    return validated.agg(
+    total = lambda column: F.coalesce(F.sum(F.when(accepted, F.col(column))), F.lit(0))
+    return [
         F.count_if(accepted).alias("accepted_requests"),
-        F.coalesce(F.sum(F.when(accepted, F.col("n_resource_spans"))), F.lit(0)).alias("accepted_resource_spans"),
-        F.coalesce(F.sum(F.when(accepted, F.col("n_spans"))), F.lit(0)).alias("accepted_spans"),
+        total("n_resource_spans").alias("accepted_resource_spans"),
+        total("n_spans").alias("accepted_spans"),
         F.count_if(~F.col("outcome").isin("accepted", "health")).alias("rejected_requests"),
-    )
+    ]
+
+
+def ingest_stats(validated: DataFrame) -> DataFrame:
+    """Counters over validated exports."""
+    return validated.agg(*_counters())
+
+
+def watch_ingest(validated: DataFrame, observation: Observation | str) -> DataFrame:
+    """The same counters on the side of whatever the exports are used for. A
+    name instead of an observation reports them with the progress of a stream."""
+    return validated.observe(observation, *_counters())

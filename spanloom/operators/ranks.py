@@ -18,15 +18,15 @@ LARGE_KEY_ROWS = 100_000
 def split_by_size(df: DataFrame, keys: list[str], limit: int = LARGE_KEY_ROWS):
     """(rows of ordinary keys, rows of large keys or None).
 
-    Costs one pre-aggregated count over the key columns only. The list of large
-    keys is checkpointed and mostly empty; the joins carry no broadcast hint, so
-    a hash join is chosen by measured size alone.
+    Costs one pre-aggregated count over the key columns only, which mostly finds
+    no large key. If it does, their list is checkpointed; the joins with it carry
+    no broadcast hint, so a hash join is chosen by measured size alone.
     """
-    large = cut_lineage(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(*keys)
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = counts.where(F.col("_rows") > limit).select(*keys)
     if large.isEmpty():
         return df, None
+    large = cut_lineage(large)
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 

@@ -29,11 +29,28 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
 
 
 def trace_list(spans: DataFrame, project_id=None, service=None, limit=100) -> DataFrame:
-    """The most recently started traces."""
+    """The most recently started traces.
+
+    First the listed traces are found from ids and start times alone, with
+    fixed-width aggregation buffers. Only their spans are then summarised: none
+    of them starts before the earliest listed trace, so the bound on the start
+    time reaches the Parquet scan and skips almost all of a lake. The list of
+    ids is broadcast; limit bounds it to 1000.
+    """
+    limit = checked_limit(limit)
+    rows = scoped(spans, project_id, service)
+    listed = (
+        rows.groupBy("trace_id")
+        .agg(F.min("start_time_unix_nano").alias("_started"))
+        .orderBy(F.desc("_started"), "trace_id")
+        .limit(limit)
+    )
+    earliest = listed.agg(F.min("_started")).scalar()
+    recent = rows.where(F.col("start_time_unix_nano") >= earliest)
     return (
-        trace_summaries(scoped(spans, project_id, service))
+        trace_summaries(recent.join(F.broadcast(listed.select("trace_id")), "trace_id", "left_semi"))
         .orderBy(F.desc("start_time_unix_nano"), "trace_id")
-        .limit(checked_limit(limit))
+        .limit(limit)
     )
 
 

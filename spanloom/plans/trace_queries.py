@@ -253,7 +253,9 @@ def _(spark, sf):
     return analytics.model_analytics(chat_spans(spark, sf), exact_p95=True)
 
 
-@query("model_analytics_sketch")
+# A sketch holds every value until a group outgrows its accuracy, so at the
+# checked sizes it must give the exact value.
+@query("model_analytics_sketch", f"{SPANS} {_model_sql('spans')}")
 def _(spark, sf):
     return analytics.model_analytics(event_spans(spark, sf))
 
@@ -267,7 +269,7 @@ def _(spark, sf):
     return analytics.model_p95(event_spans(spark, sf), exact=True)
 
 
-@query("model_p95_approx")
+@query("model_p95_approx", f"{SPANS} {_P95}")
 def _(spark, sf):
     return analytics.model_p95(event_spans(spark, sf))
 

@@ -166,7 +166,9 @@ def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: i
         return 0
     names = [row.filename for row in chosen]
     files = max(1, -(-sum(row.size_bytes for row in chosen) // target_bytes))
-    merged = _commit_rows(spark, lake, names).repartitionByRange(files, "start_date", "trace_id")
+    # start and span id as well, so that a very large trace spreads over files
+    order = ["start_date", "trace_id", "start_time_unix_nano", "span_id"]
+    merged = _commit_rows(spark, lake, names).repartitionByRange(files, *order)
     name = f"compacted-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     rows = write_commit(merged.select(*_LAKE.fieldNames()), lake, name)
     _append_manifest(spark, lake, [(name, rows, COMMITTED), *[(n, 0, COMPACTED) for n in names]])
