@@ -11,6 +11,7 @@ stream through in small Arrow batches. Many small segments share a task.
 """
 
 import io
+import json
 import re
 import struct
 import zlib
@@ -64,18 +65,47 @@ class SegmentTask(InputPartition):
     pieces: list[Piece] = field(default_factory=list)
 
 
+def _file_system(path: str):
+    return arrow_fs.FileSystem.from_uri(local_path(path).replace("s3a://", "s3://", 1))
+
+
+class BatchPlan:
+    """A small file with the offset of the last planned batch, and whether it is done."""
+
+    def __init__(self, path: str):
+        self.fs, self.path = _file_system(path)
+
+    def read(self) -> tuple[dict[str, int], bool]:
+        if self.fs.get_file_info(self.path).type == arrow_fs.FileType.NotFound:
+            return {}, True
+        with self.fs.open_input_stream(self.path) as noted:
+            content = json.loads(noted.read())
+        return content["offset"], content["done"]
+
+    def write(self, offset: dict[str, int], done: bool) -> None:
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        with self.fs.open_output_stream(f"{self.path}.new") as out:
+            out.write(json.dumps({"offset": offset, "done": done}).encode())
+        self.fs.move(f"{self.path}.new", self.path)
+
+    def confirm(self) -> None:
+        offset, done = self.read()
+        if not done:
+            self.write(offset, True)
+
+
 class _Folder:
     """The segment folder on whatever file system its URI names."""
 
     def __init__(self, options):
         options = {k.lower(): v for k, v in options.items()}
-        path = local_path(options["path"])
-        path = path.replace("s3a://", "s3://", 1)
-        self.fs, self.root = arrow_fs.FileSystem.from_uri(path)
+        self.fs, self.root = _file_system(options["path"])
         self.max_record = int(options.get("maxrecordbytes", MAX_RECORD_BYTES))
         self.strict = str(options.get("strict", "false")).lower() == "true"
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.parallelism = int(options.get("parallelism", 1))
+        self.batch_bytes = int(options.get("maxbytesperbatch", 0))
+        self.plan = BatchPlan(options["planpath"]) if options.get("planpath") else None
 
     def segments(self) -> list[tuple[str, int]]:
         """(name, size) in writing order."""
@@ -193,27 +223,57 @@ class WalStreamReader(DataSourceStreamReader):
     Sealed segments count in full. The newest one counts up to its last whole
     record, which the driver finds by hopping over the headers that are new
     since the last poll. Segments that were read and removed leave the offset.
+
+    With maxBytesPerBatch an offset moves ahead by whole segments until so many
+    bytes are new. The engine does not tell a restarted reader where it stands,
+    so each offset is noted in planPath before it is handed out. Unless the note
+    is confirmed, a restarted reader with such a bound hands out the same offset
+    once more: either it was processed, then there is nothing new at first, or
+    it was lost, then it is planned again. Without a bound the offset covers all
+    that is there, which is never behind.
     """
 
     def __init__(self, options):
         self.options = options
-        self.seen: dict[str, int] = {}
+        self.last: dict[str, int] = {}
+        self.started = False
 
     def initialOffset(self):
         return {}
 
     def latestOffset(self):
         folder = _Folder(self.options)
+        if folder.plan and not self.started:
+            self.last, done = folder.plan.read()
+            if folder.batch_bytes and not done:
+                self.started = True
+                return self.last
+        self.started = True
+        ends = self._ends(folder)
+        if folder.batch_bytes:
+            ends = self._capped(ends, folder.batch_bytes)
+        if folder.plan and ends != self.last:
+            folder.plan.write(ends, done=False)
+        self.last = ends
+        return ends
+
+    def _ends(self, folder) -> dict[str, int]:
         segments = folder.segments()
-        ends = {}
-        for i, (name, size) in enumerate(segments):
-            newest = i == len(segments) - 1
-            if newest and not folder.strict:
-                ends[name] = folder.last_boundary(name, min(self.seen.get(name, 0), size), size)
-            else:
-                ends[name] = size
-        self.seen = ends
-        return dict(sorted(ends.items()))
+        ends = dict(segments)
+        if segments and not folder.strict:
+            name, size = segments[-1]
+            ends[name] = folder.last_boundary(name, min(self.last.get(name, 0), size), size)
+        return {name: end for name, end in ends.items() if end}
+
+    def _capped(self, ends: dict[str, int], limit: int) -> dict[str, int]:
+        taken, kept = 0, {}
+        for name, end in ends.items():  # in writing order
+            before = self.last.get(name, 0)
+            reached = end if taken < limit else before
+            taken += reached - before
+            if reached:
+                kept[name] = reached
+        return kept
 
     def partitions(self, start, end):
         pieces = [Piece(n, start.get(n, 0), stop) for n, stop in end.items() if stop > start.get(n, 0)]
@@ -263,10 +323,21 @@ def read_wal(
 
 
 def stream_wal(
-    spark: SparkSession, path: str, max_record_bytes: int = MAX_RECORD_BYTES, strict: bool = False
+    spark: SparkSession,
+    path: str,
+    max_record_bytes: int = MAX_RECORD_BYTES,
+    strict: bool = False,
+    max_bytes_per_batch: int = 0,
+    plan_path: str = "",
 ) -> DataFrame:
-    """The same as an unbounded stream that follows the folder."""
-    return spark.readStream.format("wal").options(**_options(spark, path, max_record_bytes, strict)).load()
+    """The same as an unbounded stream that follows the folder.
+
+    max_bytes_per_batch bounds a micro-batch, to whole segments; it needs a file
+    name in plan_path that lives and dies with the checkpoint.
+    """
+    options = _options(spark, path, max_record_bytes, strict)
+    options |= {"maxBytesPerBatch": max_bytes_per_batch, "planPath": plan_path}
+    return spark.readStream.format("wal").options(**options).load()
 
 
 def list_segments(spark: SparkSession, path: str) -> DataFrame:

@@ -8,13 +8,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import lake as lakes
 from ..sources.otlp import decode_exports, flatten_exports
-from ..sources.wal import MAX_RECORD_BYTES, stream_wal
+from ..sources.wal import MAX_RECORD_BYTES, BatchPlan, stream_wal
 
 POLL = {"processingTime": "2 seconds"}
 DRAIN = {"availableNow": True}
 _MALFORMED = "malformed"
 
 
+def _plan_path(lake: str) -> str:
+    return f"{lake}/_checkpoint/wal-plan.json"
+
+
 def _batch_writer(lake: str, max_records_per_file: int, project_keys, written: list[int]):
     """foreachBatch function. Order of effects: data, damage, then the manifest
     entry that makes the batch visible; the checkpoint follows after that. Only
@@ -66,16 +70,19 @@ def materialize(
     max_record_bytes: int = MAX_RECORD_BYTES,
     strict: bool = False,
     project_keys=("project.id",),
+    max_bytes_per_batch: int = 0,
     written: list[int] | None = None,
 ) -> StreamingQuery:
     """Start to follow the segments and append their spans to the lake.
 
-    The default trigger polls every two seconds; DRAIN reads what is there and
-    stops. The checkpoint lies in the lake, since both belong together.
+    The default trigger polls every two seconds; DRAIN reads what is there, or
+    one batch of max_bytes_per_batch, and stops. Memory does not depend on the
+    batch size, but what a failed driver has to do again does. The checkpoint
+    lies in the lake, since both belong together.
     """
     writer = _batch_writer(lake, max_records_per_file, tuple(project_keys), [] if written is None else written)
     return (
-        stream_wal(spark, wal_path, max_record_bytes, strict)
+        stream_wal(spark, wal_path, max_record_bytes, strict, max_bytes_per_batch, _plan_path(lake))
         .writeStream.foreachBatch(writer)
         .option("checkpointLocation", f"{lake}/_checkpoint")
         .trigger(**(trigger or POLL))
@@ -84,9 +91,23 @@ def materialize(
 
 
 def materialize_available(spark: SparkSession, wal_path: str, lake: str, **options) -> int:
-    """Read everything that is there, wait for it, and return the spans written."""
+    """Read everything that is there, wait for it, and return the spans written.
+
+    With max_bytes_per_batch the segments are read in runs of one batch each, so
+    a failed driver repeats one batch at most.
+    """
     written: list[int] = []
-    materialize(spark, wal_path, lake, trigger=DRAIN, written=written, **options).awaitTermination()
+    idle = 0
+    while True:
+        query = materialize(spark, wal_path, lake, trigger=DRAIN, written=written, **options)
+        query.awaitTermination()
+        BatchPlan(_plan_path(lake)).confirm()  # the run ended well, so its batch is done
+        if not options.get("max_bytes_per_batch"):
+            break
+        # the first run after a failure may find its batch done already
+        idle = 0 if query.lastProgress and query.lastProgress.numInputRows else idle + 1
+        if idle == 2:
+            break
     return sum(written)
 
 

@@ -185,3 +185,35 @@ def test_lake_analytics_read_no_json(spark, place):
         plan = report(kept)._jdf.queryExecution().toString()
         assert "attributes_json" not in plan.split("== Physical Plan ==")[1]
     assert overview(kept).collect()[0].total_tokens == 20
+
+
+def test_bounded_batches_resume(spark, place, monkeypatch):
+    wal, lake = place
+    for n in range(5):
+        write(wal, f"wal-{n + 1}-0.wal", *[record(one_span(n * 4 + i)) for i in range(4)])
+    size = (wal / "wal-1-0.wal").stat().st_size
+    calls = []
+    publish = lakes.publish
+
+    def crash_once(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost the driver")
+        publish(*args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(lakes, "publish", crash_once)
+        with pytest.raises(Exception, match="lost the driver"):
+            materialize_available(spark, str(wal), lake, max_bytes_per_batch=size + 1)
+    assert len(ids(spark, lake)) == 8  # the first batch holds two segments
+    assert materialize_available(spark, str(wal), lake, max_bytes_per_batch=size + 1) == 12
+    assert len(ids(spark, lake)) == len(set(ids(spark, lake))) == 20
+    write(wal, "wal-6-0.wal", record(one_span(99)), record(one_span(100))[:9])
+    assert materialize_available(spark, str(wal), lake, max_bytes_per_batch=size + 1) == 1
+    # runs with and without a bound take turns
+    write(wal, "wal-7-0.wal", record(one_span(101)), record(one_span(102)))
+    write(wal, "wal-6-0.wal", record(one_span(99)), record(one_span(100)))
+    assert materialize_available(spark, str(wal), lake) == 3
+    write(wal, "wal-8-0.wal", record(one_span(103)))
+    assert materialize_available(spark, str(wal), lake, max_bytes_per_batch=1) == 1
+    assert len(ids(spark, lake)) == len(set(ids(spark, lake))) == 25
