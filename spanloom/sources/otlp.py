@@ -140,39 +140,62 @@ def message_types() -> dict:
     return {n: message_factory.GetMessageClass(pool.FindMessageTypeByName(f"t.{n}")) for n in PROTOCOL}
 
 
-def _finite(number: float):
-    """JSON has no literal for these numbers, so they become text."""
-    return number if math.isfinite(number) else {"inf": "Infinity", "-inf": "-Infinity"}.get(str(number), "NaN")
+def _json_writers():
+    """(attributes, label): JSON text of a KeyValue list, and the text of one value in it.
 
-
-def _attribute_reader():
-    """Function from a KeyValue list to a dict of JSON values; the last of equal keys wins."""
-
-    def value(any_value):
-        kind = any_value.WhichOneof("value")
-        return readers[kind](getattr(any_value, kind)) if kind else ""
-
-    def mapping(pairs):
-        return {pair.key: value(pair.value) for pair in pairs}
-
-    readers = {
-        "string_value": str,
-        "bool_value": bool,
-        "int_value": int,
-        "double_value": _finite,
-        "bytes_value": bytes.hex,
-        "array_value": lambda array: [value(v) for v in array.values],
-        "kvlist_value": lambda pairs: mapping(pairs.values),
+    The text goes straight from message to JSON, keys sorted, the last of equal
+    keys kept. Keys come from a small vocabulary, so their quoted form is kept.
+    """
+    quote, quoted = json.dumps, {}
+
+    def number(value):
+        if math.isfinite(value):
+            return repr(value)
+        # JSON has no literal for these, so they become text
+        return '"NaN"' if math.isnan(value) else '"Infinity"' if value > 0 else '"-Infinity"'
+
+    def text(value):
+        kind = value.WhichOneof("value")
+        return writers[kind](getattr(value, kind)) if kind else '""'
+
+    def key(name):
+        if name not in quoted:
+            if len(quoted) >= _REMEMBERED:
+                quoted.clear()
+            quoted[name] = quote(name)
+        return quoted[name]
+
+    def attributes(pairs):
+        if not pairs:
+            return "{}"
+        found = {pair.key: pair.value for pair in pairs}
+        names = sorted(found) if len(found) > 1 else found
+        return "{" + ", ".join([f"{key(n)}: {text(found[n])}" for n in names]) + "}"
+
+    writers = {
+        "string_value": quote,
+        "bool_value": lambda value: "true" if value else "false",
+        "int_value": str,
+        "double_value": number,
+        "bytes_value": lambda value: f'"{value.hex()}"',
+        "array_value": lambda array: "[" + ", ".join([text(v) for v in array.values]) + "]",
+        "kvlist_value": lambda pairs: attributes(pairs.values),
     }
-    return mapping
 
+    def label(pairs, wanted):
+        """Text of the first wanted key with a value that is neither empty, zero nor false."""
+        found = {pair.key: pair.value for pair in pairs if pair.key in wanted}
+        for name in wanted:
+            if name in found:
+                kind = found[name].WhichOneof("value")
+                value = getattr(found[name], kind) if kind else ""
+                if kind in ("array_value", "kvlist_value"):
+                    value = text(found[name]) if value.values else ""
+                if value:
+                    return value.hex() if kind == "bytes_value" else str(value)
+        return None
 
-def _first_label(attributes: dict, keys) -> str | None:
-    """Text of the first key with a value that is neither empty, zero nor false."""
-    for key in keys:
-        if found := attributes.get(key):
-            return str(found)
-    return None
+    return attributes, label
 
 
 class _Exports:
@@ -230,26 +253,26 @@ def _decoder(project_keys):
         from google.protobuf.message import DecodeError
 
         Request = message_types()["ExportTraceServiceRequest"]
-        attributes = _attribute_reader()
-        dumps = json.JSONEncoder(sort_keys=True).encode
+        attributes, label = _json_writers()
+        quote = json.dumps
 
         def event(e):
-            return {
-                "name": e.name,
-                "time_unix_nano": e.time_unix_nano,
-                "attributes": attributes(e.attributes),
-                "dropped_attributes_count": e.dropped_attributes_count,
-            }
+            return (
+                f'{{"attributes": {attributes(e.attributes)}, '
+                f'"dropped_attributes_count": {e.dropped_attributes_count}, '
+                f'"name": {quote(e.name)}, "time_unix_nano": {e.time_unix_nano}}}'
+            )
 
         def link(k):
-            return {
-                "trace_id": k.trace_id.hex(),
-                "span_id": k.span_id.hex(),
-                "trace_state": k.trace_state,
-                "attributes": attributes(k.attributes),
-                "dropped_attributes_count": k.dropped_attributes_count,
-                "flags": k.flags,
-            }
+            return (
+                f'{{"attributes": {attributes(k.attributes)}, '
+                f'"dropped_attributes_count": {k.dropped_attributes_count}, "flags": {k.flags}, '
+                f'"span_id": "{k.span_id.hex()}", "trace_id": "{k.trace_id.hex()}", '
+                f'"trace_state": {quote(k.trace_state)}}}'
+            )
+
+        def listed(items, write):
+            return "[" + ", ".join([write(i) for i in items]) + "]" if items else "[]"
 
         known = {}  # few resources send most exports
 
@@ -258,23 +281,19 @@ def _decoder(project_keys):
             if key not in known:
                 if len(known) >= _REMEMBERED:
                     known.clear()
-                shared = attributes(resource.attributes)
-                known[key] = (
-                    dumps(shared), _first_label(shared, ("service.name",)), _first_label(shared, project_keys)
-                )
+                shared = resource.attributes
+                known[key] = attributes(shared), label(shared, ("service.name",)), label(shared, project_keys)
             return known[key]
 
         def span_row(s):
-            own = attributes(s.attributes)
+            own = s.attributes
             start, end = s.start_time_unix_nano, s.end_time_unix_nano
             if start > _LAST_NANO or end > _LAST_NANO:
                 raise OverflowError("span time beyond 63 bits")
             return (
-                s.trace_id, s.span_id, s.parent_span_id, s.name, s.kind, _first_label(own, project_keys),
+                s.trace_id, s.span_id, s.parent_span_id, s.name, s.kind, label(own, project_keys),
                 start, end, s.status.code, s.status.message, s.trace_state, s.flags,
-                dumps(own) if own else "{}",
-                dumps([event(e) for e in s.events]) if s.events else "[]",
-                dumps([link(k) for k in s.links]) if s.links else "[]",
+                attributes(own), listed(s.events, event), listed(s.links, link),
                 s.dropped_attributes_count, s.dropped_events_count, s.dropped_links_count,
             )
 
