@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.times import day_of
 from ..operators import ingest, lakefiles, segments
 from ..session import scratch_path
 from ..sources import lake as lakes
-from ..sources.otlp import decode_exports, flatten_exports, inspect_exports, normalize_spans
+from ..sources.otlp import decode_exports, inspect_exports, normalize_spans
 from ..sources.wal import read_wal
 from ..streaming.materialize import materialize_available
 from .catalog import query
@@ -261,7 +262,7 @@ def _(spark, sf):
     live = manifest.where("status = 'COMMITTED'").count()
     return (
         lakes.committed_spans(spark, lake)
-        .groupBy(F.timestamp_micros(F.call_function("div", F.col("start_time_unix_nano"), F.lit(1000))).cast("date").alias("start_date"))
+        .groupBy(day_of("start_time_unix_nano").alias("start_date"))
         .agg(
             F.count(F.lit(1)).alias("span_count"),
             F.count_distinct("trace_id").alias("trace_count"),

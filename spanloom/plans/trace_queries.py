@@ -430,9 +430,6 @@ def _(spark, sf):
 
 # --- attributes -------------------------------------------------------------
 
-_FLAT = "from_json(attributes_json, '\"JSON\"')"
-
-
 @query(
     "attributes_map",
     f"""{SPANS}, kv AS (SELECT trace_id, span_id, attributes_json, unnest(json_keys(attributes_json)) AS k FROM spans)

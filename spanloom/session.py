@@ -1,6 +1,5 @@
 """Session set-up and the folder that executors share."""
 
-import os
 import tempfile
 import uuid
 
@@ -60,8 +59,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def local_path(path: str) -> str:
     """Strip the file: scheme where plain Python file access is wanted."""
     return path[5:] if path.startswith("file:/") and not path.startswith("file://") else path.removeprefix("file://")
-
-
-def ensure_dir(path: str) -> str:
-    os.makedirs(local_path(path), exist_ok=True)
-    return path

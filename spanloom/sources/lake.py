@@ -1,7 +1,8 @@
 """The span lake: Parquet commits, a manifest that decides what is visible.
 
     <lake>/spans/commit=<name>/start_date=<day>/*.parquet
-    <lake>/manifest/*.parquet        append-only log of commit states
+    <lake>/manifest/slot=<hour>/     append-only log of commit states
+    <lake>/manifest_base/slot=<hour>/ states of all hours before, rolled up
     <lake>/corruptions/batch_id=<n>/ damage found while reading segments
 
 A commit is written first and named in the manifest afterwards, in one file
@@ -13,7 +14,7 @@ while the scan is planned.
 
 import time
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genai import with_promoted
-from ..operators.lakefiles import COMMITTED, COMPACTED, committed_files, compaction_plan, current_manifest
+from ..functions.times import day_of
+from ..operators.lakefiles import COMMITTED, COMPACTED, compaction_plan, current_manifest
 from ..schema import CORRUPTION, MANIFEST, SPAN
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -31,6 +33,7 @@ _LAKE = T.StructType(SPAN.fields + [
     T.StructField("gen_ai_input_tokens", T.LongType()),
     T.StructField("gen_ai_output_tokens", T.LongType()),
 ])
+_SLOTTED = T.StructType(MANIFEST.fields + [T.StructField("slot", T.StringType())])
 _LAYOUT = T.StructType(_LAKE.fields + [
     T.StructField("commit", T.StringType()), T.StructField("start_date", T.DateType()),
 ])
@@ -46,8 +49,41 @@ def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _slot(now: datetime) -> str:
+    return f"{now:%Y-%m-%dT%H}"
+
+
 def manifest_log(spark: SparkSession, lake: str) -> DataFrame:
-    return _table(spark, f"{lake}/manifest", MANIFEST)
+    """Commit states since the last roll-up, and what that roll-up holds."""
+    bases = _table(spark, f"{lake}/manifest_base", _SLOTTED)
+    log = _table(spark, f"{lake}/manifest", _SLOTTED)
+    newest = bases.agg(F.max("slot")).first()[0]
+    if newest is None:
+        return log.drop("slot")
+    return (
+        bases.where(F.col("slot") == newest).unionByName(log.where(F.col("slot") >= newest)).drop("slot")
+    )
+
+
+def roll_manifest(spark: SparkSession, lake: str, now: datetime | None = None) -> None:
+    """Gather the log of all past hours in one file, so that reading the manifest
+    does not open one small file per micro-batch ever written.
+
+    An hour counts as past five minutes after its end: no writer appends to it then.
+    """
+    slot = _slot((now or datetime.now(timezone.utc)) - timedelta(minutes=5))
+    if not _table(spark, f"{lake}/manifest_base", _SLOTTED).where(F.col("slot") >= slot).isEmpty():
+        return
+    past = _table(spark, f"{lake}/manifest", _SLOTTED).where(F.col("slot") < slot).drop("slot")
+    bases = _table(spark, f"{lake}/manifest_base", _SLOTTED)
+    newest = bases.agg(F.max("slot")).first()[0]
+    if newest is not None:
+        past = past.unionByName(bases.where(F.col("slot") == newest).drop("slot"))
+    latest = past.groupBy("filename").agg(F.max_by(F.struct(*MANIFEST.fieldNames()), "version").alias("_last"))
+    rows = latest.select("_last.*")
+    if not rows.isEmpty():
+        # one file, so it appears as a whole
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{lake}/manifest_base/slot={slot}")
 
 
 def corruptions(spark: SparkSession, lake: str) -> DataFrame:
@@ -74,7 +110,8 @@ def _append_manifest(spark: SparkSession, lake: str, entries: list[tuple[str, in
     version, now = time.time_ns(), datetime.now(timezone.utc)
     rows = [(name, count, status, version, now) for name, count, status in entries]
     # one partition, so one file: the entries become visible together
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{lake}/manifest")
+    log = f"{lake}/manifest/slot={_slot(now)}"
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(log)
 
 
 def is_committed(spark: SparkSession, lake: str, name: str) -> bool:
@@ -92,10 +129,7 @@ def write_commit(spans: DataFrame, lake: str, name: str, max_records_per_file: i
     path = f"{lake}/spans/commit={name}"
     (
         with_promoted(spans)
-        .withColumn(
-            "start_date",
-            F.timestamp_micros(F.call_function("div", F.col("start_time_unix_nano"), F.lit(1000))).cast("date"),
-        )
+        .withColumn("start_date", day_of("start_time_unix_nano"))
         .sortWithinPartitions("start_date", "trace_id")
         .write.mode("overwrite")
         .partitionBy("start_date")
@@ -172,4 +206,5 @@ def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: i
     name = f"compacted-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     rows = write_commit(merged.select(*_LAKE.fieldNames()), lake, name)
     _append_manifest(spark, lake, [(name, rows, COMMITTED), *[(n, 0, COMPACTED) for n in names]])
+    roll_manifest(spark, lake)
     return rows

@@ -122,7 +122,8 @@ class _Folder:
     def tasks(self, pieces: list[Piece]) -> list[SegmentTask]:
         """Pack pieces so that tasks are even and none is tiny."""
         total = sum(p.stop - p.start for p in pieces)
-        target = min(self.split, max(_SMALLEST_SPLIT, total // max(self.parallelism, 1)))
+        # two tasks per core even out segments of different density
+        target = min(self.split, max(_SMALLEST_SPLIT, total // max(2 * self.parallelism, 1)))
         tasks, filled = [], target
         for piece in pieces:
             if filled >= target:

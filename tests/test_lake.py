@@ -3,6 +3,7 @@
 import struct
 import threading
 import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from exports import one_span, record, span, export, write
@@ -217,3 +218,22 @@ def test_bounded_batches_resume(spark, place, monkeypatch):
     write(wal, "wal-8-0.wal", record(one_span(103)))
     assert materialize_available(spark, str(wal), lake, max_bytes_per_batch=1) == 1
     assert len(ids(spark, lake)) == len(set(ids(spark, lake))) == 25
+
+
+def test_manifest_is_rolled_up_by_the_hour(spark, place, monkeypatch):
+    lake = _grow(spark, place, 3, 2)
+    wal = place[0]
+    lakes.compact(spark, lake, max_files=2)
+    before = {tuple(r) for r in current_manifest(lakes.manifest_log(spark, lake)).collect()}
+    now = datetime.now(timezone.utc)
+    for hours in (2, 2, 3):
+        lakes.roll_manifest(spark, lake, now + timedelta(hours=hours))
+        assert {tuple(r) for r in current_manifest(lakes.manifest_log(spark, lake)).collect()} == before
+    assert len(ids(spark, lake)) == 6
+    # later hours add to the roll-up, and a replayed commit is still known
+    monkeypatch.setattr(lakes, "_slot", lambda at: f"{at + timedelta(hours=5):%Y-%m-%dT%H}")
+    write(wal, "wal-9-0.wal", record(one_span(77)))
+    assert materialize_available(spark, str(wal), lake) == 1
+    assert len(ids(spark, lake)) == 7
+    assert lakes.is_committed(spark, lake, "batch-000000000000")
+    assert lakes.manifest_log(spark, lake).count() == len(before) + 1

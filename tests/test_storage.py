@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.sql import Observation
-from pyspark.sql import functions as F
 
 from spanloom.operators import ingest, lakefiles, segments
 

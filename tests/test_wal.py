@@ -69,7 +69,7 @@ def test_empty_folder_and_listing(spark, tmp_path):
 
 
 def test_many_small_segments_share_tasks(tmp_path):
-    folder = _Folder({"path": str(tmp_path), "splitBytes": "100", "parallelism": "2"})
+    folder = _Folder({"path": str(tmp_path), "splitBytes": "100", "parallelism": "1"})
     tasks = folder.tasks([Piece(f"wal-{i}.wal", 0, 60) for i in range(10)])
     assert [len(t.pieces) for t in tasks] == [2] * 5
 
