@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.op01_huffman import op1_huffman_ids
 from spanloom.llm.op03_perplexity import op3_quality_perplexity
 from spanloom.llm import op04_topk, op09_licenses
+from spanloom.llm.op05_pii import op5_pii_skip_chain
 from spanloom.llm.op06_simhash import op6_simhash_near_dedup
 from spanloom.llm.op07_mixing import op7_pivotal_mixing
 from spanloom.llm.op10_packing import op10_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
     "op3_quality_perplexity": op3_quality_perplexity,
     "op4_threshold_top_k": op04_topk.op4_threshold_top_k,
+    "op5_pii_skip_chain": op5_pii_skip_chain,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pivotal_mixing": op7_pivotal_mixing,
     "op9_license_diagonals": op09_licenses.op9_license_diagonals,
