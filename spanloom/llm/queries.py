@@ -12,6 +12,7 @@ from spanloom.llm import op04_topk, op09_licenses
 from spanloom.llm.op05_pii import op5_pii_skip_chain
 from spanloom.llm.op06_simhash import op6_simhash_near_dedup
 from spanloom.llm.op07_mixing import op7_pivotal_mixing
+from spanloom.llm.op08_language import op8_language_cross_parse
 from spanloom.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,11 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_skip_chain": op5_pii_skip_chain,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pivotal_mixing": op7_pivotal_mixing,
+    "op8_language_cross_parse": op8_language_cross_parse,
     "op9_license_diagonals": op09_licenses.op9_license_diagonals,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op4_threshold_top_k": op04_topk.ORACLE,
+    "op8_language_cross_parse": op8_language_cross_parse,
     "op9_license_diagonals": op09_licenses.ORACLE,
 }
