@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.op01_huffman import op1_huffman_ids
+from spanloom.llm.op02_html import op2_html_main_text
 from spanloom.llm.op03_perplexity import op3_quality_perplexity
 from spanloom.llm import op04_topk, op09_licenses
 from spanloom.llm.op05_pii import op5_pii_skip_chain
@@ -17,6 +18,7 @@ from spanloom.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
+    "op2_html_main_text": op2_html_main_text,
     "op3_quality_perplexity": op3_quality_perplexity,
     "op4_threshold_top_k": op04_topk.op4_threshold_top_k,
     "op5_pii_skip_chain": op5_pii_skip_chain,
