@@ -14,7 +14,7 @@ documents of the smallest hash, the spans of the base patterns being the labels
 that a base pattern matched but whose check failed are left out of the fit). Inference is
 loopy belief propagation over all documents of a batch at once. A run of neighbouring
 nodes whose belief in one kind is at least SURE becomes a span if it touches no base
-span. It finds what a greedy base pattern loses by running from one entity into the next,
+span and has what every entity of the kind has (`possible`). It finds what a greedy base pattern loses by running from one entity into the next,
 and repeats of a certain entity carry uncertain ones along.
 
 Defined cases: a null text counts as empty; base spans always stay; a table in which
@@ -277,11 +277,23 @@ def find(texts: list[str | None], weights: np.ndarray, pairs: np.ndarray) -> tup
     return base, [sorted(m) for m in more]
 
 
+def possible(kind: int, text: str) -> bool:
+    """Whether a span has what every entity of its kind has: digits in number (and check digit), an at sign, three dots."""
+    digits = re.sub(r"[^0-9]", "", text)
+    if kind == 0:
+        return 0 < text.find("@") < len(text) - 1
+    if kind == 1:
+        return text.count(".") >= 3 and len(digits) >= 4
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15
+
+
 def _close(run: list, texts: list, base: list, more: list) -> None:
     number, kind, start, end = run
     text = texts[number][start:end]
     start, end = start + len(text) - len(text.lstrip("\"'([<")), end - (len(text) - len(text.rstrip(".,;:!?\"')]>")))
-    if start < end and not any(a < end and start < b for _, a, b in base[number]):
+    if start < end and possible(kind - 1, texts[number][start:end]) and not any(a < end and start < b for _, a, b in base[number]):
         more[number].append((kind - 1, start, end))
 
 

@@ -34,7 +34,7 @@ NOTICES = (
     ("licensed under the gnu general public license version 2", "gpl-2.0"),
     ("licensed under the gnu general public license version 3", "gpl-3.0"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl-header"),
-    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl-header"),
+    ("gnu lesser general public license", "lgpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),

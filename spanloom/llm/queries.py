@@ -31,6 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_threshold_top_k": op04_topk.ORACLE,
-    "op8_language_cross_parse": op8_language_cross_parse,
     "op9_license_diagonals": op09_licenses.ORACLE,
 }
