@@ -24,9 +24,16 @@ def committed_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def orphan_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+def orphan_files(manifest: DataFrame, listing: DataFrame, before=None) -> DataFrame:
     """Files to remove: leftovers of unfinished writes, and data files that are
-    not committed (any more)."""
+    not committed (any more).
+
+    A file is written before the manifest names it. With `before`, a time well in
+    the past, only files not modified since are judged; whoever removes files
+    without it has to know that nobody writes.
+    """
+    if before is not None:
+        listing = listing.where(F.col("modified_at") < F.lit(before))
     committed = manifest.where(F.col("status") == COMMITTED)
     temporary = listing.where("is_tmp").select("filename", F.lit("temporary").alias("reason"))
     stray = (
@@ -37,17 +44,21 @@ def orphan_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return temporary.unionByName(stray)
 
 
-def compaction_plan(manifest: DataFrame, listing: DataFrame, max_files: int = 20) -> DataFrame:
+def compaction_plan(
+    manifest: DataFrame, listing: DataFrame, max_files: int = 20, below_bytes: int | None = None
+) -> DataFrame:
     """The files the next compaction merges: the first ones by name, if there
-    are at least two."""
+    are at least two. With below_bytes, only smaller files."""
+    if below_bytes is not None:
+        listing = listing.where(F.col("size_bytes") < below_bytes)
     files = committed_files(manifest, listing).select("filename", "record_count")
     enough = files.agg(F.count(F.lit(1)) > 1).scalar()
     return files.where(enough).orderBy("filename").limit(max_files)
 
 
 def recent_corruptions(corruptions: DataFrame, limit: int = 10) -> DataFrame:
-    """The latest corruption events."""
-    return corruptions.orderBy(F.desc("id")).limit(limit)
+    """The latest corruption events: by time, then batch, then place."""
+    return corruptions.orderBy(F.desc("detected_at"), F.desc("batch_id"), "source_file", "source_offset").limit(limit)
 
 
 def projects_by_age(projects: DataFrame) -> DataFrame:
@@ -67,7 +78,7 @@ def storage_status(
     sizes = segments.join(
         offsets.select(F.col("source_file").alias("filename"), "max_offset"), "filename", "left"
     )
-    live = listing.join(manifest.where(F.col("status") == COMMITTED), "filename", "left_semi")
+    live = listing.where(~F.col("is_tmp")).join(manifest.where(F.col("status") == COMMITTED), "filename", "left_semi")
     parts = [
         sizes.agg(
             count.alias("segment_count"),

@@ -1,5 +1,7 @@
 """Queries on segments, decoding, the lake, its status, and ingest validation."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions.times import day_of
@@ -7,8 +9,8 @@ from ..operators import ingest, lakefiles, segments
 from ..session import scratch_path
 from ..sources import lake as lakes
 from ..sources.otlp import decode_exports, inspect_exports, normalize_spans
-from ..sources.wal import read_wal
-from ..streaming.materialize import materialize_available
+from ..sources.wal import list_segments, read_wal
+from ..streaming.materialize import checkpoint_offsets, materialize_available, system_status
 from .catalog import query
 from .derived_wal import encode_exports, write_segments
 from .inputs import event_spans, event_spans_sql, table
@@ -388,21 +390,84 @@ def _(spark, sf):
     )
 
 
+# A run over damaged exports: segment by segment a checksum fails at one event in 97,
+# what comes after it in the segment is lost.
+_DAMAGE_SQL = """placed AS (SELECT *, min(event_id) FILTER (event_id % 97 = 5) OVER (PARTITION BY source_file) AS bad FROM spans),
+    sound AS (SELECT * FROM placed WHERE bad IS NULL OR event_id < bad),
+    damage AS (SELECT DISTINCT source_file FROM placed WHERE bad IS NOT NULL)"""
+
+
+def _damaged_lake(spark, sf):
+    """Segments with damage and the lake that a run over them leaves."""
+    records = encode_exports(event_spans(spark, sf, keep_event_id=True), "event_id")
+    faulty = records.withColumn("fault", F.when(F.col("position") % 97 == 5, "crc"))
+    wal, lake = write_segments(faulty, "damaged"), scratch_path(spark, "lake")
+    materialize_available(spark, wal, lake)
+    return wal, lake
+
+
 @query(
     "recent_corruptions",
-    f"""{SPANS} SELECT event_id AS id, source_file, source_offset, 'WAL checksum mismatch' AS reason
-    FROM spans WHERE status_code = 2 ORDER BY id DESC LIMIT 10""",
+    f"""{SPANS}, {_DAMAGE_SQL} SELECT source_file, 'WAL checksum mismatch' AS reason, true AS ends_segment
+    FROM damage ORDER BY source_file LIMIT 10""",
 )
 def _(spark, sf):
-    events = (
-        event_spans(spark, sf, keep_event_id=True)
-        .where("status_code = 2")
-        .select(
-            F.col("event_id").alias("id"), "source_file", "source_offset",
-            F.lit("WAL checksum mismatch").alias("reason"),
-        )
+    _, lake = _damaged_lake(spark, sf)
+    return lakefiles.recent_corruptions(lakes.corruptions(spark, lake)).select(
+        "source_file", F.substring_index("reason", ":", 1).alias("reason"), "ends_segment"
+    )
+
+
+@query(
+    "lake_quarantine",
+    f"{SPANS}, {_DAMAGE_SQL} SELECT source_file AS filename, 'QUARANTINED' AS status FROM damage",
+)
+def _(spark, sf):
+    _, lake = _damaged_lake(spark, sf)
+    return segments.segment_lifecycle(lakes.quarantined_segments(spark, lake)).select("filename", "status")
+
+
+@query(
+    "lake_segments",
+    f"""{SPANS}, {_DAMAGE_SQL}, files AS (SELECT DISTINCT source_file FROM spans),
+    keyed AS (SELECT source_file, coalesce(try_cast(regexp_extract(source_file, '^wal-(\\d+)-(\\d+)\\.wal$', 1) AS bigint), 0) AS a,
+      coalesce(try_cast(regexp_extract(source_file, '^wal-(\\d+)-(\\d+)\\.wal$', 2) AS bigint), 0) AS b FROM files)
+    SELECT source_file AS filename, row_number() OVER (ORDER BY a DESC, b DESC, source_file DESC) = 1 AS is_active, true AS is_fully_read,
+      source_file IN (SELECT source_file FROM damage) AS is_quarantined FROM keyed""",
+)
+def _(spark, sf):
+    wal, lake = _damaged_lake(spark, sf)
+    progress = segments.segment_progress(list_segments(spark, wal), checkpoint_offsets(spark, lake), lakes.corruptions(spark, lake))
+    return progress.select("filename", "is_active", "is_fully_read", "is_quarantined")
+
+
+@query(
+    "lake_orphans",
+    f"""{SPANS}, names AS (SELECT 'batch-unfinished' AS filename UNION ALL SELECT concat('batch-', lpad(cast(part AS varchar), 12, '0')) FROM range(3) r(part))
+    SELECT filename, 'not committed' AS reason FROM names WHERE (SELECT count(*) FROM spans) > 0""",
+)
+def _(spark, sf):
+    # after a compaction nothing but its own commit is live
+    lake = _lake_of_three(spark, sf)
+    lakes.compact(spark, lake)
+    manifest = lakefiles.current_manifest(lakes.manifest_log(spark, lake))
+    return lakefiles.orphan_files(manifest, lakes.list_commits(spark, lake), before=datetime.now(timezone.utc))
+
+
+@query(
+    "system_status",
+    f"""{SPANS}, {_DAMAGE_SQL} SELECT CASE WHEN (SELECT count(*) FROM damage) = 0 THEN 'healthy' ELSE 'degraded' END AS status,
+      (SELECT count(DISTINCT source_file) FROM spans) AS segment_count,
+      (SELECT count(DISTINCT source_file) FROM spans) AS fully_materialized_segments, 1::bigint AS file_count,
+      (SELECT count(*) FROM damage) AS total_corruption_events, (SELECT count(DISTINCT project_id) FROM sound) AS projects_count,
+      (SELECT least(count(*), 10) FROM damage) AS listed_events""",
+)
+def _(spark, sf):
+    wal, lake = _damaged_lake(spark, sf)
+    return system_status(spark, wal, lake).select(
+        "status", "segment_count", "fully_materialized_segments", "file_count", "total_corruption_events", "projects_count",
+        F.size("latest_corruptions").cast("bigint").alias("listed_events"),
     )
-    return lakefiles.recent_corruptions(events)
 
 
 # --- ingest -----------------------------------------------------------------

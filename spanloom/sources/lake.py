@@ -1,20 +1,19 @@
 """The span lake: Parquet commits, a manifest that decides what is visible.
 
     <lake>/spans/commit=<name>/start_date=<day>/*.parquet
-    <lake>/manifest/slot=<hour>/     append-only log of commit states
-    <lake>/manifest_base/slot=<hour>/ states of all hours before, rolled up
+    <lake>/manifest/slot=<hour>/     append-only log of commit states, a file an entry
+    <lake>/manifest_base/roll=<n>/   states rolled up, and the names of the entries they hold
     <lake>/corruptions/batch_id=<n>/ damage found while reading segments
 
 A commit is written first and named in the manifest afterwards, in one file
 that Spark's output committer puts in place with a rename. Readers take their
 list of commits from the manifest, so unfinished or replaced commits are never
-seen. Names of commits are partition values: the list prunes whole folders
-while the scan is planned.
+seen, and open the folders of these commits alone.
 """
 
 import time
 import uuid
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +32,12 @@ _LAKE = T.StructType(SPAN.fields + [
     T.StructField("gen_ai_input_tokens", T.LongType()),
     T.StructField("gen_ai_output_tokens", T.LongType()),
 ])
-_SLOTTED = T.StructType(MANIFEST.fields + [T.StructField("slot", T.StringType())])
+# A rolled-up row is either a state or the name of an entry that the states hold.
+_ROLLED = T.StructType([T.StructField(f.name, f.dataType) for f in MANIFEST.fields] + [
+    T.StructField("entry", T.StringType()), T.StructField("roll", T.LongType()),
+])
+#: Entries beside the roll-up from which a new one is made.
+ROLL_ENTRIES = 64
 _LAYOUT = T.StructType(_LAKE.fields + [
     T.StructField("commit", T.StringType()), T.StructField("start_date", T.DateType()),
 ])
@@ -53,57 +57,110 @@ def _slot(now: datetime) -> str:
     return f"{now:%Y-%m-%dT%H}"
 
 
+def _entries(spark: SparkSession, lake: str) -> DataFrame:
+    """Rows of the manifest log with the file they stand in, as of now."""
+    log = _table(spark, f"{lake}/manifest", MANIFEST)
+    return log.withColumn("path", F.input_file_name()).withColumn("entry", F.element_at(F.split("path", "/"), -1))
+
+
+def _newest_base(spark: SparkSession, lake: str) -> tuple[int, DataFrame]:
+    bases = _table(spark, f"{lake}/manifest_base", _ROLLED)
+    newest = bases.agg(F.max("roll")).first()[0] or 0
+    return newest, bases.where(F.col("roll") == newest)
+
+
+def _beside(entries: DataFrame, base: DataFrame) -> DataFrame:
+    """Entries that the roll-up does not hold, by name: when they were written does not matter."""
+    return entries.join(base.where("entry IS NOT NULL").select("entry"), "entry", "left_anti")
+
+
 def manifest_log(spark: SparkSession, lake: str) -> DataFrame:
-    """Commit states since the last roll-up, and what that roll-up holds."""
-    bases = _table(spark, f"{lake}/manifest_base", _SLOTTED)
-    log = _table(spark, f"{lake}/manifest", _SLOTTED)
-    newest = bases.agg(F.max("slot")).first()[0]
-    if newest is None:
-        return log.drop("slot")
-    return (
-        bases.where(F.col("slot") == newest).unionByName(log.where(F.col("slot") >= newest)).drop("slot")
-    )
+    """Commit states of the newest roll-up and of every entry that it does not hold.
+
+    The roll-up is read first: an entry file is only removed after two roll-ups hold it.
+    """
+    _, base = _newest_base(spark, lake)
+    states = base.where("entry IS NULL").select(*MANIFEST.fieldNames())
+    return states.unionByName(_beside(_entries(spark, lake), base).select(*MANIFEST.fieldNames()))
 
 
-def roll_manifest(spark: SparkSession, lake: str, now: datetime | None = None) -> None:
-    """Gather the log of all past hours in one file, so that reading the manifest
-    does not open one small file per micro-batch ever written.
+def roll_manifest(spark: SparkSession, lake: str, at_least: int = ROLL_ENTRIES) -> bool:
+    """Gather the entries in one file, so that reading the manifest does not open one
+    small file per micro-batch ever written. True if a roll-up was made.
 
-    An hour counts as past five minutes after its end: no writer appends to it then.
+    The roll-up names the entries it holds, so an entry that appears late, under
+    whatever hour, is read beside it. States of replaced commits that cannot be
+    replayed are dropped (compactions, and batches before the last one), and entry
+    files that the roll-up before held as well are removed. Like compaction, one
+    at a time per lake: a second one with the same number fails.
     """
-    slot = _slot((now or datetime.now(timezone.utc)) - timedelta(minutes=5))
-    if not _table(spark, f"{lake}/manifest_base", _SLOTTED).where(F.col("slot") >= slot).isEmpty():
-        return
-    past = _table(spark, f"{lake}/manifest", _SLOTTED).where(F.col("slot") < slot).drop("slot")
-    bases = _table(spark, f"{lake}/manifest_base", _SLOTTED)
-    newest = bases.agg(F.max("slot")).first()[0]
-    if newest is not None:
-        past = past.unionByName(bases.where(F.col("slot") == newest).drop("slot"))
-    latest = past.groupBy("filename").agg(F.max_by(F.struct(*MANIFEST.fieldNames()), "version").alias("_last"))
-    rows = latest.select("_last.*")
-    if not rows.isEmpty():
-        # one file, so it appears as a whole
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{lake}/manifest_base/slot={slot}")
+    roll, base = _newest_base(spark, lake)
+    entries = _entries(spark, lake)
+    beside = _beside(entries, base)
+    if beside.select("entry").distinct().count() < at_least:
+        return False
+    every = base.where("entry IS NULL").select(*MANIFEST.fieldNames()).unionByName(beside.select(*MANIFEST.fieldNames()))
+    latest = every.groupBy("filename").agg(F.max_by(F.struct(*MANIFEST.fieldNames()), "version").alias("_last")).select("_last.*")
+    batch = F.col("filename").startswith("batch-")
+    last_batch = latest.where(batch).agg(F.max("filename")).first()[0]
+    gone = (F.col("status") == COMPACTED) & (F.col("filename").startswith("compacted-") | (batch & (F.col("filename") < F.lit(last_batch))))
+    states = latest.where(~F.coalesce(gone, F.lit(False))).withColumn("entry", F.lit(None).cast("string"))
+    held = entries.select("entry").distinct()
+    rows = states.unionByName(held, allowMissingColumns=True)
+    # what may go once the new roll-up stands: held before, so held twice
+    twice = entries.join(base.where("entry IS NOT NULL").select("entry"), "entry", "left_semi").select("path").distinct()
+    removable = [row.path for row in twice.collect()]
+    # one file, so it appears as a whole
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{lake}/manifest_base/roll={roll + 1}")
+    _remove(spark, removable + ([f"{lake}/manifest_base/roll={roll - 1}"] if roll > 1 else []))
+    return True
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders on whatever file system their names say."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def corruptions(spark: SparkSession, lake: str) -> DataFrame:
     return _table(spark, f"{lake}/corruptions", CORRUPTION)
 
 
+def quarantined_segments(spark: SparkSession, lake: str) -> DataFrame:
+    """Lifecycle changes of damaged segments: filename, status, bytes_size (what is sound), sequence."""
+    return corruptions(spark, lake).where("ends_segment").select(
+        F.col("source_file").alias("filename"), F.lit("QUARANTINED").alias("status"),
+        F.col("source_offset").alias("bytes_size"), F.col("batch_id").alias("sequence"),
+    )
+
+
 def list_commits(spark: SparkSession, lake: str) -> DataFrame:
-    """Commits that exist as files, with their bytes. Contents are not read."""
+    """Commits that exist as files: filename, size_bytes, modified_at, is_tmp. Contents are not read.
+
+    A commit with an output folder of unfinished tasks is listed once more as
+    temporary, with the time of that folder.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
         .load(f"{lake}/spans")
     )
-    return (
-        files.select(F.regexp_extract("path", r"/commit=([^/]+)/", 1).alias("filename"), "length")
+    whole = (
+        files.select(F.regexp_extract("path", r"/commit=([^/]+)/", 1).alias("filename"), "length", "modificationTime")
         .groupBy("filename")
-        .agg(F.sum("length").alias("size_bytes"))
+        .agg(F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("modified_at"))
         .withColumn("is_tmp", F.lit(False))
     )
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{lake}/spans/commit=*/_temporary")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    unfinished = [
+        (f"{f.getPath().getParent().getName().removeprefix('commit=')}/_temporary", 0, datetime.fromtimestamp(f.getModificationTime() / 1000, timezone.utc), True)
+        for f in found
+    ]
+    return whole.unionByName(spark.createDataFrame(unfinished, "filename string, size_bytes bigint, modified_at timestamp, is_tmp boolean"))
 
 
 def _append_manifest(spark: SparkSession, lake: str, entries: list[tuple[str, int, str]]) -> None:
@@ -159,7 +216,11 @@ def append_spans(spans: DataFrame, lake: str, name: str, max_records_per_file: i
 
 
 def _commit_rows(spark: SparkSession, lake: str, names: list[str]) -> DataFrame:
-    return _table(spark, f"{lake}/spans", _LAYOUT).where(F.col("commit").isin(names))
+    """Rows of the named commits; no other folder is listed."""
+    if not names:
+        return spark.createDataFrame([], _LAYOUT)
+    root = f"{lake}/spans"
+    return spark.read.schema(_LAYOUT).option("basePath", root).parquet(*[f"{root}/commit={name}" for name in sorted(names)])
 
 
 def lake_spans(spark: SparkSession, lake: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
@@ -185,9 +246,9 @@ def committed_spans(spark: SparkSession, lake: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: int = TARGET_FILE_BYTES) -> int:
-    """Merge the first commits by name into one. Returns the rows rewritten.
+    """Merge the first small commits by name into one. Returns the rows rewritten.
 
-    The new commit is range-partitioned by day and trace, so its files have
+    Commits of half the target size and more stay as they are. The new commit is range-partitioned by day and trace, so its files have
     narrow trace ranges and a point lookup skips most of them. One manifest
     append swaps old for new. Run one compaction at a time per lake.
     """
@@ -195,7 +256,7 @@ def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: i
     if manifest.isEmpty():
         return 0
     listing = list_commits(spark, lake)
-    chosen = compaction_plan(manifest, listing, max_files).join(listing, "filename").collect()
+    chosen = compaction_plan(manifest, listing, max_files, below_bytes=target_bytes // 2).join(listing, "filename").collect()
     if len(chosen) < 2:
         return 0
     names = [row.filename for row in chosen]

@@ -2,13 +2,15 @@
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.lakefiles import current_manifest, recent_corruptions, storage_status
 from ..sources import lake as lakes
 from ..sources.otlp import decode_exports, flatten_exports
-from ..sources.wal import MAX_RECORD_BYTES, BatchPlan, stream_wal
+from ..sources.wal import MAX_RECORD_BYTES, BatchPlan, list_segments, stream_wal
 
 POLL = {"processingTime": "2 seconds"}
 DRAIN = {"availableNow": True}
@@ -23,25 +25,29 @@ def _batch_writer(lake: str, max_records_per_file: int, project_keys, written: l
     """foreachBatch function. Order of effects: data, damage, then the manifest
     entry that makes the batch visible; the checkpoint follows after that. Only
     the first batch of a run can be a replay: if the manifest has it already it
-    is skipped, otherwise it overwrites its own leftovers."""
-    begun = False
+    is skipped, otherwise it overwrites its own leftovers. Damaged segments are
+    looked up when the run begins and whenever a batch has found new ones."""
+    begun, damaged = False, None
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        nonlocal begun
+        nonlocal begun, damaged
         spark = batch.sparkSession
         name = f"batch-{batch_id:012d}"
         replayed = not begun and lakes.is_committed(spark, lake, name)
         begun = True
+        if damaged is None:
+            known = lakes.corruptions(spark, lake).where("ends_segment").select("source_file")
+            damaged = () if known.isEmpty() else known
         if replayed:
             return
-        damaged = lakes.corruptions(spark, lake).where("ends_segment").select("source_file")
         # damage found by an earlier batch ends the segment for good
-        frames = batch.join(damaged, "source_file", "left_anti")
+        frames = batch.join(damaged, "source_file", "left_anti") if isinstance(damaged, DataFrame) else batch
         decoded = decode_exports(frames, project_keys)
         seen = Observation(f"damage-{name}")
         watched = decoded.observe(seen, F.count("corrupt_reason").alias("damaged"))
         rows = lakes.write_commit(flatten_exports(watched), lake, name, max_records_per_file)
         if seen.get["damaged"]:
+            damaged = None
             (
                 decoded.where(F.col("corrupt_reason").isNotNull())
                 .select(
@@ -111,6 +117,36 @@ def materialize_available(spark: SparkSession, wal_path: str, lake: str, **optio
     return sum(written)
 
 
+def checkpoint_offsets(spark: SparkSession, lake: str) -> DataFrame:
+    """How far each segment is read, from the lake's checkpoint: also when nothing runs."""
+    schema = "source_file string, max_offset bigint"
+    number = F.col("_metadata.file_name").cast("bigint").alias("n")
+    try:
+        finished = spark.read.text(f"{lake}/_checkpoint/commits").select(number).distinct()
+        planned = spark.read.text(f"{lake}/_checkpoint/offsets", wholetext=True).select(number, "value")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    last = planned.join(finished, "n").agg(F.max_by("value", "n").alias("value"))
+    # a version line, a line about the batch, a line per source
+    ends = F.from_json(F.split("value", "\n")[2], "map<string,bigint>")
+    return last.where("value IS NOT NULL").select(F.explode(ends).alias("source_file", "max_offset"))
+
+
+def system_status(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
+    """storage_status of a deployment: one row, with the latest ten damage events."""
+    projects = lakes.committed_spans(spark, lake).where("project_id IS NOT NULL").select("project_id").distinct()
+    damage = lakes.corruptions(spark, lake)
+    state = storage_status(
+        list_segments(spark, wal_path), checkpoint_offsets(spark, lake), lakes.list_commits(spark, lake),
+        current_manifest(lakes.manifest_log(spark, lake)), damage, projects,
+    )
+    event = F.struct(F.col("detected_at"), F.col("batch_id"), F.col("source_file"), F.col("source_offset"), F.col("reason"))
+    latest = recent_corruptions(damage).agg(F.collect_list(event).alias("latest_corruptions"))
+    return state.withColumn("_one", F.lit(1)).join(latest.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def progress_offsets(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """How far each segment is read, from the progress of the query."""
     progress = query.lastProgress

@@ -1,5 +1,6 @@
 """Materialisation, resumption, damage, manifest visibility and compaction."""
 
+import os
 import struct
 import threading
 import time
@@ -8,7 +9,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from exports import one_span, record, span, export, write
 
-from spanloom.operators.lakefiles import current_manifest
+from spanloom.operators.lakefiles import current_manifest, orphan_files
 from spanloom.sources import lake as lakes
 from spanloom.streaming.materialize import materialize, materialize_available, progress_offsets
 
@@ -220,20 +221,103 @@ def test_bounded_batches_resume(spark, place, monkeypatch):
     assert len(ids(spark, lake)) == len(set(ids(spark, lake))) == 25
 
 
-def test_manifest_is_rolled_up_by_the_hour(spark, place, monkeypatch):
+def _states(spark, lake):
+    return {tuple(r) for r in current_manifest(lakes.manifest_log(spark, lake)).collect()}
+
+
+def test_manifest_is_rolled_up(spark, place):
     lake = _grow(spark, place, 3, 2)
     wal = place[0]
     lakes.compact(spark, lake, max_files=2)
-    before = {tuple(r) for r in current_manifest(lakes.manifest_log(spark, lake)).collect()}
-    now = datetime.now(timezone.utc)
-    for hours in (2, 2, 3):
-        lakes.roll_manifest(spark, lake, now + timedelta(hours=hours))
-        assert {tuple(r) for r in current_manifest(lakes.manifest_log(spark, lake)).collect()} == before
-    assert len(ids(spark, lake)) == 6
-    # later hours add to the roll-up, and a replayed commit is still known
-    monkeypatch.setattr(lakes, "_slot", lambda at: f"{at + timedelta(hours=5):%Y-%m-%dT%H}")
+    before = _states(spark, lake)
+    assert not lakes.roll_manifest(spark, lake)  # too few entries to be worth it
+    for _ in range(3):
+        lakes.roll_manifest(spark, lake, at_least=1)
+        # the first two batches are compacted and can't be replayed, the last one stays known
+        assert _states(spark, lake) == {r for r in before if r[0].startswith("compacted") or r[0] == f"batch-{2:012d}"}
+        assert len(ids(spark, lake)) == 6
+        lakes.append_spans(lakes.committed_spans(spark, lake).limit(0), lake, "nothing")
     write(wal, "wal-9-0.wal", record(one_span(77)))
     assert materialize_available(spark, str(wal), lake) == 1
     assert len(ids(spark, lake)) == 7
-    assert lakes.is_committed(spark, lake, "batch-000000000000")
-    assert lakes.manifest_log(spark, lake).count() == len(before) + 1
+    assert lakes.is_committed(spark, lake, f"batch-{2:012d}")
+
+
+@pytest.mark.parametrize("rolls", [1, 2, 3])
+def test_an_entry_that_appears_late_is_kept(spark, place, monkeypatch, rolls):
+    """Its hour is long past, and roll-ups were made, before the entry lands."""
+    lake = _grow(spark, place, 2, 2)
+    spans = lakes.committed_spans(spark, lake)
+    rows = lakes.write_commit(spans, lake, "late")
+    for _ in range(rolls):
+        lakes.roll_manifest(spark, lake, at_least=0)
+    monkeypatch.setattr(lakes, "_slot", lambda at: "2001-01-01T00")
+    lakes.publish(spark, lake, "late", rows)
+    assert len(ids(spark, lake)) == 8 and lakes.is_committed(spark, lake, "late")
+    listing = lakes.list_commits(spark, lake)
+    assert orphan_files(current_manifest(lakes.manifest_log(spark, lake)), listing).isEmpty()
+    assert lakes.roll_manifest(spark, lake, at_least=1)
+    assert len(ids(spark, lake)) == 8
+
+
+def test_rolled_entries_are_removed_when_held_twice(spark, place):
+    from pathlib import Path
+
+    lake = _grow(spark, place, 3, 1)
+    entries = lambda: len(list(Path(lake, "manifest").rglob("part-*.parquet")))
+    assert entries() == 3
+    lakes.roll_manifest(spark, lake, at_least=1)
+    assert entries() == 3  # a reader may still hold the list of before
+    lakes.roll_manifest(spark, lake, at_least=0)
+    assert entries() == 0 and len(ids(spark, lake)) == 3
+    lakes.roll_manifest(spark, lake, at_least=0)
+    assert lakes.manifest_log(spark, lake).count() == 3 and len(list(Path(lake, "manifest_base").iterdir())) == 2
+
+
+def test_orphans_wait_for_the_grace_time(spark, place):
+    lake = _grow(spark, place, 1, 3)
+    lakes.write_commit(lakes.committed_spans(spark, lake), lake, "batch-being-written")
+    os.makedirs(f"{lake}/spans/commit=batch-crashed/_temporary/0")
+    manifest, listing = current_manifest(lakes.manifest_log(spark, lake)), lakes.list_commits(spark, lake)
+    now = datetime.now(timezone.utc)
+    assert orphan_files(manifest, listing, before=now - timedelta(hours=1)).isEmpty()
+    later = {tuple(r) for r in orphan_files(manifest, listing, before=now + timedelta(hours=1)).collect()}
+    assert later == {("batch-being-written", "not committed"), ("batch-crashed/_temporary", "temporary")}
+
+
+def test_only_live_commits_are_listed(spark, place):
+    lake = _grow(spark, place, 2, 2)
+    lakes.write_commit(lakes.committed_spans(spark, lake), lake, "dead")
+    files = lakes.lake_spans(spark, lake).inputFiles()
+    assert len(files) == 2 and not any("commit=dead" in f for f in files)
+    lakes.compact(spark, lake)
+    assert all("commit=compacted-" in f for f in lakes.lake_spans(spark, lake).inputFiles())
+
+
+def test_large_commits_are_not_compacted_again(spark, place):
+    lake = _grow(spark, place, 3, 2)
+    assert lakes.compact(spark, lake) == 6
+    write(place[0], "wal-8-0.wal", record(one_span(80)))
+    materialize_available(spark, str(place[0]), lake)
+    assert lakes.compact(spark, lake, target_bytes=2) == 0
+    assert lakes.compact(spark, lake) == 7
+
+
+def test_status_of_a_real_lake(spark, place):
+    from spanloom.operators.lakefiles import recent_corruptions
+    from spanloom.streaming.materialize import checkpoint_offsets, system_status
+
+    wal, lake = place
+    wal.mkdir()
+    assert checkpoint_offsets(spark, lake).isEmpty()
+    good = record(one_span(1))
+    write(wal, "wal-1-0.wal", good, struct.pack("<II", 3, 1) + b"bad")
+    materialize_available(spark, str(wal), lake)
+    write(wal, "wal-2-0.wal", record(one_span(2)), record(one_span(3))[:4])
+    materialize_available(spark, str(wal), lake)
+    assert {tuple(r) for r in checkpoint_offsets(spark, lake).collect()} == {("wal-1-0.wal", len(good) + 11), ("wal-2-0.wal", len(record(one_span(2))))}
+    state = system_status(spark, str(wal), lake).first()
+    assert (state.status, state.segment_count, state.fully_materialized_segments, state.file_count, state.total_corruption_events) == ("degraded", 2, 1, 2, 1)
+    assert [(e.source_file, e.source_offset) for e in state.latest_corruptions] == [("wal-1-0.wal", len(good))]
+    assert recent_corruptions(lakes.corruptions(spark, lake)).count() == 1
+    assert [tuple(r) for r in lakes.quarantined_segments(spark, lake).drop("sequence").collect()] == [("wal-1-0.wal", "QUARANTINED", len(good))]
