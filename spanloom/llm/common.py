@@ -17,7 +17,7 @@ from spanloom.session import cut_lineage, scratch_path  # noqa: F401  (for the o
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 SMALL_ROWS = 100_000
 #: Interned words a Python worker keeps before it starts afresh.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -75,6 +75,17 @@ class Interned(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+_STATE: list[tuple] = []
+
+
+def worker_state(key: object, make):
+    """The worker's state for `key` (compared by identity). It outlives a task, so what it learnt serves the next; a new key drops the old state."""
+    if not _STATE or _STATE[0][0] is not key:
+        _STATE.clear()
+        _STATE.append((key, make()))
+    return _STATE[0][1]
+
+
 def split_batch(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """All words of the texts in one list, and how many each text has."""
     words: list[bytes] = []
@@ -94,7 +105,7 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Cuts a batch into runs of rows whose texts hold about `limit` bytes (a longer text stands alone)."""
     sizes = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset: sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORDS_KEPT, Interned, as_bytes, checked_broadcast, slices, split_batch, sums_by, written
+from spanloom.llm.common import WORDS_KEPT, Interned, as_bytes, checked_broadcast, slices, split_batch, sums_by, worker_state, written
 
 SAMPLE_CHARS = 1_500_000
 LETTERS = 400_000
@@ -143,7 +143,6 @@ class Parser:
     """A worker's automata and the phrases and letters of the words it has met."""
 
     def __init__(self, model: list):
-        self.model = model
         self.tables = [dict(zip(keys.tolist(), to.tolist())) for _, keys, to in model]
         self.forget()
 
@@ -171,22 +170,13 @@ class Parser:
         return numbers
 
 
-_PARSER: list[Parser] = []
-
-
-def _parser(model: list) -> Parser:
-    if not _PARSER or _PARSER[0].model is not model:
-        _PARSER[:] = [Parser(model)]
-    return _PARSER[0]
-
-
 def predict(docs: DataFrame, model: list) -> DataFrame:
     """docs(doc_id, text) as doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array([m[0] for m in model] or [UNKNOWN], object)
 
     def run(batches):
-        parser = _parser(shared.value)
+        parser = worker_state(shared.value, lambda: Parser(shared.value))
         for batch in batches:
             for part in slices(batch, "text"):
                 words, counts = split_batch(as_bytes(part.column("text")))

@@ -9,13 +9,16 @@ library as it is.
 from __future__ import annotations
 
 import array
+import sys
 import zlib
 
 import numpy as np
 
-from spanloom.llm.common import WORDS_KEPT, Interned
+from spanloom.llm.common import Interned, worker_state
 
 END_ID = 2
+#: Words whose ids a worker keeps.
+WORDS_KEPT = 1_000_000
 #: No word holds white space, so this key is free for the end of a document.
 END = b" "
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -103,14 +106,9 @@ class WordTokenizer:
         return ids, np.diff(np.concatenate(([0], before[counts])))
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's own tokenizer; it outlives a task, so its words do too."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    """The worker's own tokenizer."""
+    return worker_state(sys.intern(path), lambda: WordTokenizer(path))
 
 
 def crc(ids: np.ndarray) -> int:
