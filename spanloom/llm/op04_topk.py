@@ -29,8 +29,8 @@ from spanloom.llm.common import written
 
 K = 5
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Depth of the first read; each further one is twice as deep.
-DEPTH = 8
+#: Depth of the first read; each further one is four times as deep.
+DEPTH = 32
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -46,32 +46,42 @@ def matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def threshold_top_k(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of the k best rows, ties to the smaller id. order: per dimension the rows from small to large."""
+def sorted_lists(vectors: np.ndarray) -> np.ndarray:
+    """[direction, dimension, depth]: rows from small to large (0) and from large to small (1)."""
+    order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+    return np.stack((order, order[:, ::-1]))
+
+
+def threshold_top_k(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and scores of the k best rows, ties to the smaller id."""
     n = len(vectors)
     used = np.flatnonzero(query)
     if not len(used):
         used = np.arange(min(1, len(query)))  # all scores are 0: one list is read to its end
-    seen = np.zeros(n, bool)
-    seen[ids == own] = True
-    best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    way, weights = (query[used] > 0).astype(np.int64), query[used]
+    done = ids == own
+    met = np.zeros(n, bool)
+    best, scores = np.zeros(0, np.int64), np.zeros(0, vectors.dtype)
     at, step = 0, DEPTH
     while at < n:
         end = min(n, at + step)
-        down = query[used] > 0
-        lists = np.where(down[:, None], order[used, n - end: n - at][:, ::-1], order[used, at:end])
-        met = np.unique(lists)
-        met = met[~seen[met]]
-        seen[met] = True
-        best = np.concatenate((best, met))
-        scores = np.concatenate((scores, vectors[met] @ query))
-        rank = np.lexsort((ids[best], -scores))[:k]
-        best, scores = best[rank], scores[rank]
-        bound = int((vectors[lists[:, -1], used] * query[used]).sum())
-        if len(best) == k and bound < scores[-1]:
+        read = lists[way, used, at:end]
+        met[read.ravel()] = True
+        new = np.flatnonzero(met & ~done)
+        done |= met
+        own_scores = (vectors @ query)[new] if 4 * len(new) > n else vectors[new] @ query
+        best, scores = np.concatenate((best, new)), np.concatenate((scores, own_scores))
+        if len(best) > k:
+            least = np.partition(scores, -k)[-k]
+            best, scores = best[scores >= least], scores[scores >= least]
+            rank = np.lexsort((ids[best], -scores))[:k]
+            best, scores = best[rank], scores[rank]
+        bound = (vectors[read[:, -1], used] * weights).sum()
+        if len(best) == k and bound < scores.min():
             break
-        at, step = end, step * 2
-    return best, scores
+        at, step = end, step * 4
+    rank = np.lexsort((ids[best], -scores))
+    return best[rank], scores[rank]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -92,10 +102,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
         if len(ids) and len(qids):
             size = max(width, 1)
             x, wanted = matrix(rows.column("v"), size), matrix(asked.column("v"), size)
-            order = np.argsort(x, axis=0, kind="stable").T
+            # doubles hold whole numbers up to 2**53, and multiply faster
+            if size * float(np.abs(x).max(initial=0)) * float(np.abs(wanted).max(initial=0)) < 2.0**53:
+                x, wanted = x.astype(np.float64), wanted.astype(np.float64)
+            lists = sorted_lists(x)
             for query, own in zip(wanted, qids):
-                best, scores = threshold_top_k(x, ids, query, own, k, order)
-                for kept, values in zip(out, (np.full(len(best), own), ids[best], scores)):
+                best, scores = threshold_top_k(x, ids, query, own, k, lists)
+                for kept, values in zip(out, (np.full(len(best), own), ids[best], scores.astype(np.int64))):
                     kept.append(values)
         return pa.table([np.concatenate(c) if c else np.zeros(0, np.int64) for c in out], names=["query_id", "vec_id", "score"])
 
