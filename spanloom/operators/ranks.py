@@ -80,25 +80,26 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
 def values_at_ranks(
     df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
-    """Exact order statistics per key of a BIGINT column with values >= 0.
+    """Exact order statistics per key of a BIGINT column.
 
     ranks maps an output column to a function from the row count of the key to
     the wanted 1-based rank. Equal values are counted together before the only
     wide shuffle; the rank is then located in a histogram of value buckets, and
     only buckets that hold a wanted rank are searched value by value. A bucket is
     the bit length and the leading 17 bits: it keeps the order, there are at most
-    2^17 per bit length, and each spans a 65536th of its values' size.
+    2^17 per bit length, and each spans a 65536th of its values' size. Negative
+    values take the mirror images of the buckets.
     """
+    size = F.when(F.col("_value") < 0, -1 - F.col("_value")).otherwise(F.col("_value"))
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_count"))
         # number of low bits a bucket leaves out
-        .withColumn("_drop", F.greatest(F.length(F.bin("_value")) - 17, F.lit(0)))
-        .withColumn(
-            "_bucket",
-            F.col("_drop").cast("bigint") * F.lit(1 << 17) + F.expr("shiftright(_value, _drop)"),
-        )
+        .withColumn("_size", size)
+        .withColumn("_drop", F.greatest(F.length(F.bin("_size")) - 17, F.lit(0)))
+        .withColumn("_bucket", F.col("_drop").cast("bigint") * F.lit(1 << 17) + F.expr("shiftright(_size, _drop)"))
+        .withColumn("_bucket", F.when(F.col("_value") < 0, -1 - F.col("_bucket")).otherwise(F.col("_bucket")))
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_value", "_count", "_bucket")
     )
     group = [f"_k{i}" for i in range(len(keys))]

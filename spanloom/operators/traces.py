@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import duration_label, status_badge
+from ..functions.times import day_of
 from ..schema import SPAN
 from .filters import all_of, checked_limit, equals, is_error, scoped
 
@@ -34,8 +35,10 @@ def trace_list(spans: DataFrame, project_id=None, service=None, limit=100) -> Da
     First the listed traces are found from ids and start times alone, with
     fixed-width aggregation buffers. Only their spans are then summarised: none
     of them starts before the earliest listed trace, so the bound on the start
-    time reaches the Parquet scan and skips almost all of a lake. The list of
-    ids is broadcast; limit bounds it to 1000.
+    time reaches the Parquet scan and skips almost all of a lake; with the lake's
+    start_date among the columns (lake_spans(..., keep_day=True)) it prunes the
+    folders of earlier days as well. The list of ids is broadcast; limit bounds
+    it to 1000.
     """
     limit = checked_limit(limit)
     rows = scoped(spans, project_id, service)
@@ -47,6 +50,8 @@ def trace_list(spans: DataFrame, project_id=None, service=None, limit=100) -> Da
     )
     earliest = listed.agg(F.min("_started")).scalar()
     recent = rows.where(F.col("start_time_unix_nano") >= earliest)
+    if "start_date" in rows.columns:
+        recent = recent.where(F.col("start_date") >= listed.agg(day_of(F.min("_started"))).scalar())
     return (
         trace_summaries(recent.join(F.broadcast(listed.select("trace_id")), "trace_id", "left_semi"))
         .orderBy(F.desc("start_time_unix_nano"), "trace_id")

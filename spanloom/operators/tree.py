@@ -30,6 +30,12 @@ TREE_SCHEMA = (
 
 # of repeated span ids the one that sorts last by these columns stays
 _LATEST = ["start_time_unix_nano", "end_time_unix_nano", "source_file", "source_offset"]
+# and, where all of these tie (twice in one export), by these
+_TIES = ["parent_span_id", "name", "attributes_json"]
+
+
+def _latest_order(spans: DataFrame) -> list[str]:
+    return _LATEST + [c for c in _TIES if c in spans.columns]
 
 
 def _with_parent(spans: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def latest_spans(spans: DataFrame, *columns: str) -> DataFrame:
     """The given columns of one row per (trace_id, span_id)."""
     return (
         spans.groupBy(*NODE)
-        .agg(F.max_by(F.struct(*columns), F.struct(*_LATEST)).alias("_kept"))
+        .agg(F.max_by(F.struct(*columns), F.struct(*_latest_order(spans))).alias("_kept"))
         .select(*NODE, *[F.col(f"_kept.{c}").alias(c) for c in columns])
     )
 
@@ -247,10 +253,11 @@ def _whole_traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _small_trees(spans: DataFrame) -> DataFrame:
+    order = _latest_order(spans)
     return (
-        spans.select(*NODE, "parent_span_id", "collapsed", *_LATEST)
+        spans.select(*dict.fromkeys([*NODE, "parent_span_id", "collapsed", *order]))
         .repartition("trace_id")
-        .sortWithinPartitions("trace_id", *_LATEST)
+        .sortWithinPartitions("trace_id", *order)
         .select(*NODE, "parent_span_id", "collapsed", "start_time_unix_nano")
         .mapInArrow(_whole_traces, TREE_SCHEMA)
     )

@@ -1,7 +1,9 @@
 """Queries on traces, analytics, tree shape and attributes."""
 
+from functools import reduce
 from hashlib import md5
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genai import INPUT_TOKENS, OUTPUT_TOKENS, REQUEST_MODEL, REQUEST_SYSTEM
@@ -63,30 +65,34 @@ def _(spark, sf):
     return traces.trace_detail(event_spans(spark, sf), TRACE_ID)
 
 
-# Hostile strings that must match as plain values, that is, nothing.
-HOSTILE = [
-    "' OR '1'='1",
-    "svc-1' OR 1=1 --",
-    "svc-1'; DROP TABLE spans; --",
-    "\" OR \"\"=\"",
-    "svc-1' UNION SELECT * FROM spans --",
-    "%",
-]
+# Texts that would change a query they were pasted into. As bound values they match nothing.
+HOSTILE = ["proj-1' OR 'a' = 'a", "x' OR TRUE --", "y'; DELETE FROM events; --", '" OR "" = "', "z' UNION ALL SELECT 1 --", "_%"]
+
+
+_HOSTILE_SQL = ", ".join("('" + text.replace("'", "''") + "')" for text in HOSTILE)
 
 
 @query(
     "injection_safe",
-    f"{SPANS} SELECT count(*) AS span_count, 0::bigint AS as_service, 0::bigint AS as_project, "
-    "0::bigint AS as_trace FROM spans",
+    f"""{SPANS} SELECT place, text, 0::bigint AS found, (SELECT count(*) FROM spans) AS span_count
+    FROM (VALUES {_HOSTILE_SQL}) t(text), (VALUES ('list by project'), ('list by service'), ('detail'), ('models'), ('tenant')) p(place)""",
 )
 def _(spark, sf):
-    hits = lambda column: F.count_if(F.coalesce(F.col(column).isin(*HOSTILE), F.lit(False)))
-    return event_spans(spark, sf).agg(
-        F.count(F.lit(1)).alias("span_count"),
-        hits("service_name").alias("as_service"),
-        hits("project_id").alias("as_project"),
-        hits("trace_id").alias("as_trace"),
-    )
+    spans = event_spans(spark, sf)
+    total = spans.agg(F.count(F.lit(1))).scalar()
+    asked = {
+        "list by project": lambda text: traces.trace_list(spans, project_id=text),
+        "list by service": lambda text: traces.trace_list(spans, service=text),
+        "detail": lambda text: traces.trace_detail(spans, text),
+        "models": lambda text: analytics.model_analytics(spans, project_id=text),
+        "tenant": lambda text: tenant_scope(spans, text),
+    }
+    parts = [
+        ask(text).agg(F.count(F.lit(1)).alias("found")).select(F.lit(place).alias("place"), F.lit(text).alias("text"), "found")
+        for place, ask in asked.items()
+        for text in HOSTILE
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("span_count", total)
 
 
 @query(

@@ -223,8 +223,11 @@ def _commit_rows(spark: SparkSession, lake: str, names: list[str]) -> DataFrame:
     return spark.read.schema(_LAYOUT).option("basePath", root).parquet(*[f"{root}/commit={name}" for name in sorted(names)])
 
 
-def lake_spans(spark: SparkSession, lake: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
-    """Everything the manifest commits: the canonical columns and the kept request values.
+def lake_spans(
+    spark: SparkSession, lake: str, first_day: str | None = None, last_day: str | None = None, keep_day: bool = False
+) -> DataFrame:
+    """Everything the manifest commits: the canonical columns and the kept request values
+    (keep_day: and start_date, by which folders are pruned).
 
     The list of commits is fixed when this is called, so a query sees one state
     of the lake. It is metadata: compaction keeps it short. With days given,
@@ -237,7 +240,7 @@ def lake_spans(spark: SparkSession, lake: str, first_day: str | None = None, las
         rows = rows.where(day >= F.lit(first_day).cast("date"))
     if last_day:
         rows = rows.where(day <= F.lit(last_day).cast("date"))
-    return rows.select(*_LAKE.fieldNames())
+    return rows.select(*_LAKE.fieldNames(), *(["start_date"] if keep_day else []))
 
 
 def committed_spans(spark: SparkSession, lake: str) -> DataFrame:

@@ -203,3 +203,30 @@ def test_project_aliases(spark):
     ])
     assert project_resolution(spans).collect()[0].project_id == "p"
     assert project_resolution(spans, ["project.id", "vendor.project_id"]).collect()[0].project_id == "v"
+
+
+def test_exact_quantiles_of_negative_values(spark):
+    from spanloom.operators.ranks import disc_rank, values_at_ranks
+
+    values = [-(2**62), -70_000_000, -5, -1, 0, 1, 2, 3, 200_000, 2**61]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v bigint")
+    ranks = {f"p{i}": disc_rank(i / 10) for i in range(1, 11)}
+    row = values_at_ranks(df, ["k"], "v", ranks).first()
+    assert [row[f"p{i}"] for i in range(1, 11)] == values and row.n == 10
+
+
+def test_trace_list_prunes_days(spark, tmp_path):
+    from exports import one_span, record, write
+
+    from spanloom.operators.traces import trace_list
+    from spanloom.sources import lake as lakes
+    from spanloom.streaming.materialize import materialize_available
+
+    day = 86_400 * 10**9
+    write(tmp_path / "wal", "wal-1-0.wal", *[record(one_span(i, start=i * day, end=i * day + 5)) for i in range(4)])
+    materialize_available(spark, str(tmp_path / "wal"), str(tmp_path / "lake"))
+    lake = str(tmp_path / "lake")
+    listed = trace_list(lakes.lake_spans(spark, lake, keep_day=True), limit=2)
+    assert listed.collect() == trace_list(lakes.lake_spans(spark, lake), limit=2).collect()
+    plan = listed._jdf.queryExecution().toString()
+    assert any("start_date" in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])

@@ -153,3 +153,18 @@ def test_running_sum_with_a_hot_key(spark):
         sums[k] = sums.get(k, 0) + v
         expected[i] = sums[k]
     assert got == expected
+
+
+def test_full_ties_of_a_span_id_are_settled_alike(spark):
+    """The same id twice in one export with equal times: both forms keep the same span."""
+    from spanloom.operators import tree
+
+    schema = "trace_id string, span_id string, parent_span_id string, name string, attributes_json string, start_time_unix_nano bigint, end_time_unix_nano bigint, source_file string, source_offset bigint, collapsed boolean"
+    row = lambda span, parent, name: ("t", span, parent, name, "{}", 1, 2, "f", 0, False)
+    rows = [row("r", None, "root"), row("q", None, "root"), row("a", "r", "one"), row("a", "q", "two"), row("a", None, "zero"), row("b", "a", "leaf")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for limit in (100_000, 1):
+            df = spark.createDataFrame(order, schema).repartition(3)
+            seen.add(tuple(sorted((r.span_id, r.parent_span_id, r.depth) for r in tree.span_tree(df, limit).select("span_id", "parent_span_id", "depth").collect() if r.parent_span_id)))
+    assert seen == {(("a", "r", 1), ("b", "a", 2))}
