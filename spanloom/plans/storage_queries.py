@@ -437,7 +437,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     wal, lake = _damaged_lake(spark, sf)
-    progress = segments.segment_progress(list_segments(spark, wal), checkpoint_offsets(spark, lake), lakes.corruptions(spark, lake))
+    progress = segments.segment_progress(list_segments(spark, wal), checkpoint_offsets(spark, wal, lake), lakes.corruptions(spark, lake))
     return progress.select("filename", "is_active", "is_fully_read", "is_quarantined")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..operators.segments import ordered_segments
 from ..schema import FRAME
 from ..session import local_path
 
@@ -75,14 +76,14 @@ class BatchPlan:
     def __init__(self, path: str):
         self.fs, self.path = _file_system(path)
 
-    def read(self) -> tuple[dict[str, int], bool]:
+    def read(self) -> tuple[dict, bool]:
         if self.fs.get_file_info(self.path).type == arrow_fs.FileType.NotFound:
             return {}, True
         with self.fs.open_input_stream(self.path) as noted:
             content = json.loads(noted.read())
         return content["offset"], content["done"]
 
-    def write(self, offset: dict[str, int], done: bool) -> None:
+    def write(self, offset: dict, done: bool) -> None:
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         with self.fs.open_output_stream(f"{self.path}.new") as out:
             out.write(json.dumps({"offset": offset, "done": done}).encode())
@@ -218,12 +219,20 @@ class WalReader(DataSourceReader):
         return _Folder(self.options).batches(partition)
 
 
+def read_through(offset: dict, name: str, size: int) -> int:
+    """How many bytes of a segment an offset counts."""
+    if offset.get("through") and segment_order(name) <= segment_order(offset["through"]):
+        return size
+    return offset.get("open", {}).get(name, 0)
+
+
 class WalStreamReader(DataSourceStreamReader):
-    """Offsets map each present segment to the byte up to which it counts.
+    """An offset is a name and a position, however many segments there are.
 
-    Sealed segments count in full. The newest one counts up to its last whole
-    record, which the driver finds by hopping over the headers that are new
-    since the last poll. Segments that were read and removed leave the offset.
+    `through` names the last segment in writing order up to which all are read in
+    full: segments are sealed in that order and don't change then. `open` holds the
+    position in the one after it, up to its last whole record, which the driver finds
+    by hopping over the headers that are new since the last poll.
 
     With maxBytesPerBatch an offset moves ahead by whole segments until so many
     bytes are new. The engine does not tell a restarted reader where it stands,
@@ -236,11 +245,11 @@ class WalStreamReader(DataSourceStreamReader):
 
     def __init__(self, options):
         self.options = options
-        self.last: dict[str, int] = {}
+        self.last: dict = {}
         self.started = False
 
     def initialOffset(self):
-        return {}
+        return {"through": "", "open": {}}
 
     def latestOffset(self):
         folder = _Folder(self.options)
@@ -250,36 +259,34 @@ class WalStreamReader(DataSourceStreamReader):
                 self.started = True
                 return self.last
         self.started = True
-        ends = self._ends(folder)
-        if folder.batch_bytes:
-            ends = self._capped(ends, folder.batch_bytes)
-        if folder.plan and ends != self.last:
-            folder.plan.write(ends, done=False)
-        self.last = ends
-        return ends
-
-    def _ends(self, folder) -> dict[str, int]:
-        segments = folder.segments()
-        ends = dict(segments)
-        if segments and not folder.strict:
-            name, size = segments[-1]
-            ends[name] = folder.last_boundary(name, min(self.last.get(name, 0), size), size)
-        return {name: end for name, end in ends.items() if end}
-
-    def _capped(self, ends: dict[str, int], limit: int) -> dict[str, int]:
-        taken, kept = 0, {}
-        for name, end in ends.items():  # in writing order
-            before = self.last.get(name, 0)
-            reached = end if taken < limit else before
-            taken += reached - before
-            if reached:
-                kept[name] = reached
-        return kept
+        end = self._end(folder)
+        if folder.plan and end != self.last:
+            folder.plan.write(end, done=False)
+        self.last = end
+        return end
+
+    def _end(self, folder) -> dict:
+        through, opened = self.last.get("through", ""), self.last.get("open", {})
+        after = [s for s in folder.segments() if read_through({"through": through}, *s) < s[1]]
+        taken, limit = 0, folder.batch_bytes
+        for name, size in after[:-1]:  # sealed, in writing order
+            if limit and taken >= limit:
+                return {"through": through, "open": {n: at for n, at in opened.items() if not through or segment_order(n) > segment_order(through)}}
+            taken += size - opened.get(name, 0)
+            through = name
+        position = {}
+        for name, size in after[-1:]:
+            before = min(opened.get(name, 0), size)
+            if not limit or taken < limit:
+                before = size if folder.strict else folder.last_boundary(name, before, size)
+            if before:
+                position[name] = before
+        return {"through": through, "open": position}
 
     def partitions(self, start, end):
-        pieces = [Piece(n, start.get(n, 0), stop) for n, stop in end.items() if stop > start.get(n, 0)]
-        pieces.sort(key=lambda p: segment_order(p.name))
-        return _Folder(self.options).tasks(pieces) or [SegmentTask([])]
+        folder = _Folder(self.options)
+        pieces = [Piece(name, read_through(start, name, size), read_through(end, name, size)) for name, size in folder.segments()]
+        return folder.tasks([p for p in pieces if p.stop > p.start]) or [SegmentTask([])]
 
     def read(self, partition):
         return _Folder(self.options).batches(partition)
@@ -341,6 +348,21 @@ def stream_wal(
     return spark.readStream.format("wal").options(**options).load()
 
 
+def segment_offsets(spark: SparkSession, path: str, offset: dict) -> DataFrame:
+    """source_file, max_offset: how far each present segment is read at a stream's offset."""
+    through, opened = offset.get("through"), offset.get("open") or {}
+    place = F.struct("seg_nanos", "seg_seq", "filename")
+    position = F.lit(0).cast("bigint")
+    for name, at in opened.items():  # one segment
+        position = F.when(F.col("filename") == name, F.lit(at).cast("bigint")).otherwise(position)
+    if through:
+        nanos, number, name = segment_order(through)
+        key = F.struct(F.lit(nanos).cast("bigint").alias("seg_nanos"), F.lit(number).cast("bigint").alias("seg_seq"), F.lit(name).alias("filename"))
+        position = F.when(place <= key, F.col("size_bytes")).otherwise(position)
+    rows = ordered_segments(list_segments(spark, path)).select(F.col("filename").alias("source_file"), position.alias("max_offset"))
+    return rows.where("max_offset > 0")
+
+
 def list_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segment files and their sizes. The contents are not read."""
     return (

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.lakefiles import current_manifest, recent_corruptions, storage_status
 from ..sources import lake as lakes
 from ..sources.otlp import decode_exports, flatten_exports
-from ..sources.wal import MAX_RECORD_BYTES, BatchPlan, list_segments, stream_wal
+from ..sources.wal import MAX_RECORD_BYTES, BatchPlan, list_segments, segment_offsets, stream_wal
 
 POLL = {"processingTime": "2 seconds"}
 DRAIN = {"availableNow": True}
@@ -117,9 +117,8 @@ def materialize_available(spark: SparkSession, wal_path: str, lake: str, **optio
     return sum(written)
 
 
-def checkpoint_offsets(spark: SparkSession, lake: str) -> DataFrame:
+def checkpoint_offsets(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
     """How far each segment is read, from the lake's checkpoint: also when nothing runs."""
-    schema = "source_file string, max_offset bigint"
     number = F.col("_metadata.file_name").cast("bigint").alias("n")
     try:
         finished = spark.read.text(f"{lake}/_checkpoint/commits").select(number).distinct()
@@ -127,11 +126,10 @@ def checkpoint_offsets(spark: SparkSession, lake: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    last = planned.join(finished, "n").agg(F.max_by("value", "n").alias("value"))
+        return segment_offsets(spark, wal_path, {})
+    last = planned.join(finished, "n").agg(F.max_by("value", "n").alias("value")).first().value
     # a version line, a line about the batch, a line per source
-    ends = F.from_json(F.split("value", "\n")[2], "map<string,bigint>")
-    return last.where("value IS NOT NULL").select(F.explode(ends).alias("source_file", "max_offset"))
+    return segment_offsets(spark, wal_path, json.loads(last.split("\n")[2]) if last else {})
 
 
 def system_status(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
@@ -139,7 +137,7 @@ def system_status(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
     projects = lakes.committed_spans(spark, lake).where("project_id IS NOT NULL").select("project_id").distinct()
     damage = lakes.corruptions(spark, lake)
     state = storage_status(
-        list_segments(spark, wal_path), checkpoint_offsets(spark, lake), lakes.list_commits(spark, lake),
+        list_segments(spark, wal_path), checkpoint_offsets(spark, wal_path, lake), lakes.list_commits(spark, lake),
         current_manifest(lakes.manifest_log(spark, lake)), damage, projects,
     )
     event = F.struct(F.col("detected_at"), F.col("batch_id"), F.col("source_file"), F.col("source_offset"), F.col("reason"))
@@ -147,9 +145,9 @@ def system_status(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
     return state.withColumn("_one", F.lit(1)).join(latest.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def progress_offsets(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+def progress_offsets(spark: SparkSession, query: StreamingQuery, wal_path: str) -> DataFrame:
     """How far each segment is read, from the progress of the query."""
     progress = query.lastProgress
     # the raw JSON: the parsed object turns offsets into Python text
-    ends = json.loads(progress.json)["sources"][0]["endOffset"] if progress else {}
-    return spark.createDataFrame(list((ends or {}).items()), "source_file string, max_offset bigint")
+    end = json.loads(progress.json)["sources"][0]["endOffset"] if progress else {}
+    return segment_offsets(spark, wal_path, end or {})

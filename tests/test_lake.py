@@ -155,7 +155,7 @@ def test_polling_follows_a_writer(spark, place):
     while time.time() < deadline and len(ids(spark, lake)) < 6:
         time.sleep(0.3)
     query.processAllAvailable()
-    offsets = progress_offsets(spark, query).collect()
+    offsets = progress_offsets(spark, query, str(wal)).collect()
     query.stop()
     assert len(ids(spark, lake)) == len(set(ids(spark, lake))) == 6
     assert offsets[0].max_offset == (wal / "wal-1-0.wal").stat().st_size
@@ -309,15 +309,34 @@ def test_status_of_a_real_lake(spark, place):
 
     wal, lake = place
     wal.mkdir()
-    assert checkpoint_offsets(spark, lake).isEmpty()
+    assert checkpoint_offsets(spark, str(wal), lake).isEmpty()
     good = record(one_span(1))
     write(wal, "wal-1-0.wal", good, struct.pack("<II", 3, 1) + b"bad")
     materialize_available(spark, str(wal), lake)
     write(wal, "wal-2-0.wal", record(one_span(2)), record(one_span(3))[:4])
     materialize_available(spark, str(wal), lake)
-    assert {tuple(r) for r in checkpoint_offsets(spark, lake).collect()} == {("wal-1-0.wal", len(good) + 11), ("wal-2-0.wal", len(record(one_span(2))))}
+    assert {tuple(r) for r in checkpoint_offsets(spark, str(wal), lake).collect()} == {("wal-1-0.wal", len(good) + 11), ("wal-2-0.wal", len(record(one_span(2))))}
     state = system_status(spark, str(wal), lake).first()
     assert (state.status, state.segment_count, state.fully_materialized_segments, state.file_count, state.total_corruption_events) == ("degraded", 2, 1, 2, 1)
     assert [(e.source_file, e.source_offset) for e in state.latest_corruptions] == [("wal-1-0.wal", len(good))]
     assert recent_corruptions(lakes.corruptions(spark, lake)).count() == 1
     assert [tuple(r) for r in lakes.quarantined_segments(spark, lake).drop("sequence").collect()] == [("wal-1-0.wal", "QUARANTINED", len(good))]
+
+
+def test_offset_does_not_grow_with_the_segments(tmp_path):
+    import json
+
+    from spanloom.sources.wal import WalStreamReader
+
+    sizes = []
+    for count in (10, 1000):
+        folder = tmp_path / str(count)
+        write(folder, "wal-000001-0.wal", record(one_span(1)))
+        for n in range(2, count + 1):
+            (folder / f"wal-{n:06d}-0.wal").write_bytes((folder / "wal-000001-0.wal").read_bytes())
+        reader = WalStreamReader({"path": str(folder)})
+        end = reader.latestOffset()
+        sizes.append(len(json.dumps(end)))
+        assert sum(len(t.pieces) for t in reader.partitions(reader.initialOffset(), end)) == count
+        assert reader.partitions(end, reader.latestOffset())[0].pieces == []
+    assert sizes[0] == sizes[1] and max(sizes) < 120
