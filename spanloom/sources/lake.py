@@ -173,7 +173,11 @@ def _append_manifest(spark: SparkSession, lake: str, entries: list[tuple[str, in
 
 def is_committed(spark: SparkSession, lake: str, name: str) -> bool:
     """True once the manifest has named the commit, also after a compaction."""
-    return not manifest_log(spark, lake).where(F.col("filename") == name).isEmpty()
+    named = F.col("filename") == name
+    if not _table(spark, f"{lake}/manifest", MANIFEST).where(named).isEmpty():
+        return True
+    bases = _table(spark, f"{lake}/manifest_base", _ROLLED).where(named)
+    return not bases.isEmpty()
 
 
 def write_commit(spans: DataFrame, lake: str, name: str, max_records_per_file: int = 0) -> int:
