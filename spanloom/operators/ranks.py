@@ -13,6 +13,8 @@ from ..session import cut_lineage
 
 # Keys with more rows than this are worked on in slices.
 LARGE_KEY_ROWS = 100_000
+# A side with more rows is not broadcast.
+SMALL_ROWS = 10_000
 
 
 def split_by_size(df: DataFrame, keys: list[str], limit: int = LARGE_KEY_ROWS):
@@ -83,24 +85,22 @@ def values_at_ranks(
     """Exact order statistics per key of a BIGINT column.
 
     ranks maps an output column to a function from the row count of the key to
-    the wanted 1-based rank. Equal values are counted together before the only
-    wide shuffle; the rank is then located in a histogram of value buckets, and
-    only buckets that hold a wanted rank are searched value by value. A bucket is
-    the bit length and the leading 17 bits: it keeps the order, there are at most
-    2^17 per bit length, and each spans a 65536th of its values' size. Negative
-    values take the mirror images of the buckets.
+    the wanted 1-based rank. A first pass counts value buckets, which the map side
+    combines to little, and locates each rank in one of them; a second pass keeps the
+    rows of the located buckets only and counts their values. A bucket is the bit
+    length and the leading 17 bits: it keeps the order, there are at most 2^17 per
+    bit length, and each spans a 65536th of its values' size. Negative values take
+    the mirror images of the buckets.
     """
     size = F.when(F.col("_value") < 0, -1 - F.col("_value")).otherwise(F.col("_value"))
-    counts = (
+    valued = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_count"))
-        # number of low bits a bucket leaves out
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_value"))
         .withColumn("_size", size)
+        # number of low bits a bucket leaves out
         .withColumn("_drop", F.greatest(F.length(F.bin("_size")) - 17, F.lit(0)))
         .withColumn("_bucket", F.col("_drop").cast("bigint") * F.lit(1 << 17) + F.expr("shiftright(_size, _drop)"))
         .withColumn("_bucket", F.when(F.col("_value") < 0, -1 - F.col("_bucket")).otherwise(F.col("_bucket")))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_value", "_count", "_bucket")
     )
     group = [f"_k{i}" for i in range(len(keys))]
     whole = Window.partitionBy(*group)
@@ -109,8 +109,8 @@ def values_at_ranks(
         *[F.struct(F.lit(n).alias("name"), f(F.col("_n")).cast("bigint").alias("rank")) for n, f in ranks.items()]
     )
     located = (
-        counts.groupBy(*group, "_bucket")
-        .agg(F.sum("_count").alias("_in_bucket"))
+        valued.groupBy(*group, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_in_bucket"))
         .withColumn("_n", F.sum("_in_bucket").over(whole))
         .withColumn("_before", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)))
         .withColumn("_want", F.explode(wanted))
@@ -123,10 +123,16 @@ def values_at_ranks(
             F.col("_want.name").alias("_name"), F.col("_want.rank").alias("_rank"),
         )
     )
+    # few keys: their buckets go to the rows; many keys: the rows are shuffled to them
+    few = located.limit(SMALL_ROWS + 1).collect()
+    if len(few) <= SMALL_ROWS:
+        located = F.broadcast(df.sparkSession.createDataFrame(few, located.schema))
     upto = Window.partitionBy(*group, "_bucket", "_name").orderBy("_value")
     same = [F.col(g).eqNullSafe(F.col(f"{g}_at")) for g in group] + [F.col("_bucket") == F.col("_bucket_at")]
     hits = (
-        counts.join(located, same)
+        valued.join(located, same)
+        .groupBy(*group, "_bucket", "_name", "_before", "_rank", "_n", "_value")
+        .agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("_upto", F.col("_before") + F.sum("_count").over(upto))
         .where(F.col("_upto") >= F.col("_rank"))
         .groupBy(*group)
