@@ -58,6 +58,8 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
 NOT_CONTENT = frozenset("nav footer aside form button select dialog menu head title canvas object embed audio video".split())
 #: Words of class, id or role that name parts beside the article.
 BESIDE = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget related recommended share sharing social cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login comment comments disqus replies reply pagination pager copyright search toolbar topbar masthead complementary contentinfo".split())
+#: Of these, words that name an article's own head when they stand inside it.
+TITLE_WORDS = frozenset("header masthead".split())
 ROOTS = ("article", "main")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -73,7 +75,10 @@ def is_beside(name: str, marks: str, in_root: bool) -> bool:
     """Whether an element's role is not content; a header inside the article is."""
     if name in NOT_CONTENT or (name == "header" and not in_root):
         return True
-    return any(w.lower() in BESIDE for w in WORD.findall(marks)) and name not in ("body", "html", *ROOTS)
+    words = {w.lower() for w in WORD.findall(marks)} & BESIDE
+    if in_root:
+        words -= TITLE_WORDS
+    return bool(words) and name not in ("body", "html", *ROOTS)
 
 
 def tokens(page: str):
