@@ -35,8 +35,8 @@ from spanloom.llm.tokens import tokenizer, vocabulary_path
 
 BLOCK = 1024
 LONGEST = 16
-#: Documents in one row of a shard.
-RUN = 2048
+#: Documents in one row of a shard, and ids in a shard (there are at least as many shards as shuffle partitions).
+RUN, SHARD_IDS = 2048, 100_000_000
 
 SHARDS = "shard int, run int, base bigint, doc_ids array<bigint>, n_tokens array<bigint>, marks array<bigint>, payload binary"
 CODE = "id int, bits int"
@@ -213,7 +213,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
                 })
                 base, run = base + len(ids), run + 1
 
-    ordered = tokens.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "ids")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // SHARD_IDS))
+    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
 
 
