@@ -86,6 +86,11 @@ def worker_state(key: object, make):
     return _STATE[0][1]
 
 
+def drop_worker_state() -> None:
+    """Frees what earlier tasks of the worker kept, for a task with a memory of its own."""
+    worker_state(None, lambda: None)
+
+
 def split_batch(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """All words of the texts in one list, and how many each text has."""
     words: list[bytes] = []
@@ -105,7 +110,7 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Cuts a batch into runs of rows whose texts hold about `limit` bytes (a longer text stands alone)."""
     sizes = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset: sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)

@@ -18,7 +18,7 @@ from spanloom.llm.common import Interned, worker_state
 
 END_ID = 2
 #: Words whose ids a worker keeps.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 700_000
 #: No word holds white space, so this key is free for the end of a document.
 END = b" "
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
