@@ -157,13 +157,17 @@ def component_ids(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row of docs per group of near duplicates: that of the smallest doc_id (of rows with the same doc_id and fingerprint, one)."""
-    x, nth = free_name(docs, "x"), free_name(docs, "nth")
+    x = free_name(docs, "x")
     rows = written(with_fingerprint(docs.select("doc_id", "text"), "x", size).drop("text"), "fingerprints")
-    group = groups(rows, distance)
-    # the fingerprint and doc_id of the row that stays, one per group
+    return one_per_group(docs, with_fingerprint(docs, x, size), x, rows, groups(rows, distance))
+
+
+def one_per_group(docs: DataFrame, marked: DataFrame, x: str, rows: DataFrame, group: DataFrame) -> DataFrame:
+    """The row of docs that stays per group(x, root, component_id), for rows(doc_id, x) and marked, docs with the column named by x."""
+    nth = free_name(marked, "nth")
+    # the x and doc_id of the row that stays, one per group
     stays = rows.join(group, "x").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("x").alias("x"), F.first("component_id").alias("doc_id"))
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"))
-    marked = with_fingerprint(docs, x, size)
     kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["__id"]) & (marked[x] == stays["__x"])).drop("__id", "__x")
     # repeated rows: any one of them, told apart by their whole content
     order = Window.partitionBy("doc_id", x).orderBy(F.xxhash64(*(c for c in docs.columns)))
