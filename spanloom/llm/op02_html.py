@@ -1,7 +1,7 @@
 """Main text of pages by template deduction from equivalence classes.
 
 A page is a sequence of tokens, each at its DOM path: opening tags (with their
-identifying attribute) and whole text nodes. Per host, Spark counts each token
+identifying attribute) and whole text nodes. Per host, each distinct page once, Spark counts each token
 page by page; the occurrence vector of a token over the host's pages is kept as a
 signature, a sum of hashes of (page, count), so that tokens with equal vectors have equal
 signatures and no vector is ever gathered. Tokens of one signature form an
@@ -191,8 +191,11 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, root (path of the content, null if there is no tag for it), texts (hashes of template texts)."""
-    counted = written(token_counts(pages), "tokens")
-    n_pages = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+    # copies tell nothing about what a host's pages have in common: each distinct page counts once
+    distinct = pages.groupBy("host", F.xxhash64("html").alias("one"), F.md5("html").alias("other")).agg(F.first(F.struct("page_id", "html")).alias("page"))
+    distinct = written(distinct.select("page.page_id", "host", "page.html"), "distinct-pages")
+    counted = written(token_counts(distinct), "tokens")
+    n_pages = distinct.groupBy("host").agg(F.count("*").alias("n_pages"))
     frequent = counted.join(checked_broadcast(n_pages), "host").where(F.col("pages") >= F.greatest(F.lit(2), F.col("n_pages") * SUPPORT))
     # an equivalence class: one signature; valid if it holds a tag
     classes = frequent.groupBy("host", "signature", "pages", "n_pages").agg(
@@ -269,7 +272,7 @@ def extract(page: str, root: str | None, template_texts: frozenset[int]) -> str:
             named = any(e.name in ROOTS for e in parents)
             if has_named and not named or has_root and not any(e.path == root for e in parents):
                 continue
-            if not named and template_texts and _hash(f"{parents[-1].path if parents else ''}\t{plain(what)}") in template_texts:
+            if not named and not has_root and template_texts and _hash(f"{parents[-1].path if parents else ''}\t{plain(what)}") in template_texts:
                 continue
             part.append(what)
     end()
