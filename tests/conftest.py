@@ -6,8 +6,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SMALL, CHECKED = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

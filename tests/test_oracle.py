@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the second engine."""
 
 import pytest
-from conftest import SMALL
+from folders import SMALL
 from oracle import connect, difference, rows_of_duckdb, rows_of_spark
 
 import __spark_entry__ as entry
