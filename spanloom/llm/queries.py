@@ -15,6 +15,7 @@ from spanloom.llm.op06_simhash import op6_simhash_near_dedup
 from spanloom.llm.op07_mixing import op7_pivotal_mixing
 from spanloom.llm.op08_language import op8_language_cross_parse
 from spanloom.llm.op10_packing import op10_packing
+from spanloom.llm.op11_alignment import op11_token_alignment
 from spanloom.llm.op13_prefix_counts import op13_prefix_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_cross_parse": op8_language_cross_parse,
     "op9_license_diagonals": op09_licenses.op9_license_diagonals,
     "op10_packing": op10_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op13_prefix_counts": op13_prefix_counts,
 }
 
