@@ -16,6 +16,7 @@ from spanloom.llm.op07_mixing import op7_pivotal_mixing
 from spanloom.llm.op08_language import op8_language_cross_parse
 from spanloom.llm.op10_packing import op10_packing
 from spanloom.llm.op11_alignment import op11_token_alignment
+from spanloom.llm.op12_repair import op12_conversation_repair
 from spanloom.llm.op13_prefix_counts import op13_prefix_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_diagonals": op09_licenses.op9_license_diagonals,
     "op10_packing": op10_packing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_prefix_counts": op13_prefix_counts,
 }
 
