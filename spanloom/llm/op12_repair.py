@@ -440,3 +440,56 @@ def repair(conversations: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+#: The same by a walk over the rows: a table of moves in place of matrices and grammar. The checksum is taken bit by bit.
+ORACLE = r"""
+WITH RECURSIVE keyed AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations
+), faulted AS (
+    SELECT g, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS f
+    FROM keyed
+), damaged AS (
+    SELECT g, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faulted WHERE f <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), seen AS (
+    SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+           NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) AS pair
+    FROM placed
+), ins(f, t, c, a, made) AS (
+    VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+           (0, 2, 2, 'I', 'user:' || chr(10)), (1, 2, 2, 'I', 'user:' || chr(10)), (3, 2, 2, 'I', 'user:' || chr(10)), (2, 3, 2, 'I', 'assistant:' || chr(10)),
+           (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))
+), moves(initial, f, t) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edits AS (
+    SELECT g, i, f, t, 'K' AS edit, cut::INT AS c, role || ':' || text || chr(10) AS made FROM seen JOIN moves USING (initial) WHERE NOT blank AND NOT again
+    UNION ALL
+    SELECT g, i, f, t, 'R', 2 + cut::INT, CASE moves.initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text || chr(10) FROM seen, moves WHERE moves.initial <> 's' AND NOT blank AND NOT again
+    UNION ALL
+    SELECT g, i, f, f, 'D', 3, '' FROM seen, (VALUES (0), (1), (2), (3)) AS states(f)
+), walk AS (
+    SELECT DISTINCT g, 0::BIGINT AS i, 0 AS st, {'c': 0::BIGINT, 'a': '', 'made': ''} AS best FROM damaged
+    UNION ALL
+    SELECT walk.g, walk.i + 1, edits.t, min({'c': best.c + ins.c + edits.c, 'a': best.a || ins.a || edits.edit, 'made': best.made || ins.made || edits.made})
+    FROM walk JOIN ins ON ins.f = walk.st JOIN edits ON edits.g = walk.g AND edits.i = walk.i + 1 AND edits.f = ins.t
+    GROUP BY walk.g, walk.i, edits.t
+), repaired AS (
+    SELECT walk.g, min({'c': best.c + ins.c, 'a': best.a || ins.a, 'made': best.made || ins.made}) AS best
+    FROM walk JOIN (SELECT g, max(i) AS i FROM seen GROUP BY g) AS ends ON ends.g = walk.g AND ends.i = walk.i JOIN ins ON ins.f = walk.st WHERE ins.t IN (0, 3)
+    GROUP BY walk.g
+), counted AS (
+    SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+           count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM seen GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(left(best.made, greatest(length(best.made) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM keyed) AS every LEFT JOIN counted USING (g) LEFT JOIN repaired USING (g)
+"""
