@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# States of a segment.
+ACTIVE, SEALED, MATERIALIZED, DELETED, QUARANTINED = "ACTIVE", "SEALED", "MATERIALIZED", "DELETED", "QUARANTINED"
+
 # The names a gateway gives its segments.
 _NANOS_AND_SEQUENCE = r"^wal-(\d+)-(\d+)\.wal$"
 _NUMBER_ONLY = r"^wal-(\d+)\.wal$"
@@ -64,14 +67,34 @@ def pending_segments(files: DataFrame, offsets: DataFrame, corruptions: DataFram
     )
 
 
+def highest_offsets(offsets: DataFrame) -> DataFrame:
+    """High-water mark per segment from any number of notes on it."""
+    return offsets.groupBy("source_file").agg(F.max("max_offset").alias("max_offset"))
+
+
 def merged_offsets(known: DataFrame, progress: DataFrame) -> DataFrame:
     """High-water mark per segment; replayed progress never moves it back."""
-    return (
-        known.select("source_file", "max_offset")
-        .unionByName(progress.select("source_file", "max_offset"))
-        .groupBy("source_file")
-        .agg(F.max("max_offset").alias("max_offset"))
+    columns = ("source_file", "max_offset")
+    return highest_offsets(known.select(*columns).unionByName(progress.select(*columns)))
+
+
+def segment_states(progress: DataFrame) -> DataFrame:
+    """filename, status, bytes_size of the segments that exist: quarantined, else active, materialized (sealed and read), or sealed."""
+    status = (
+        F.when(F.col("is_quarantined"), QUARANTINED)
+        .when(F.col("is_active"), ACTIVE)
+        .when(F.col("is_fully_read"), MATERIALIZED)
+        .otherwise(SEALED)
     )
+    return progress.select("filename", status.alias("status"), F.col("size_bytes").alias("bytes_size"))
+
+
+def changed_segments(known: DataFrame, states: DataFrame) -> DataFrame:
+    """Changes of state since the known ones; a segment that exists no more is deleted."""
+    before = known.select(F.col("filename"), F.col("status").alias("was"), F.col("bytes_size").alias("size_before"))
+    both = states.join(before, "filename", "full_outer")
+    status = F.coalesce("status", F.lit(DELETED))
+    return both.where(~status.eqNullSafe(F.col("was"))).select("filename", status.alias("status"), F.coalesce("bytes_size", "size_before").alias("bytes_size"))
 
 
 def segment_lifecycle(changes: DataFrame) -> DataFrame:

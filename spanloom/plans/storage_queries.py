@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import lake as lakes
 from ..sources.otlp import decode_exports, inspect_exports, normalize_spans
 from ..sources.wal import list_segments, read_wal
-from ..streaming.materialize import checkpoint_offsets, materialize_available, system_status
+from ..streaming.materialize import materialize_available, system_status
 from .catalog import query
 from .derived_wal import encode_exports, write_segments
 from .inputs import event_spans, event_spans_sql, table
@@ -437,7 +437,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     wal, lake = _damaged_lake(spark, sf)
-    progress = segments.segment_progress(list_segments(spark, wal), checkpoint_offsets(spark, wal, lake), lakes.corruptions(spark, lake))
+    progress = segments.segment_progress(list_segments(spark, wal), lakes.read_offsets(spark, lake), lakes.corruptions(spark, lake))
     return progress.select("filename", "is_active", "is_fully_read", "is_quarantined")
 
 

@@ -58,6 +58,31 @@ CORRUPTION = _fields(
     ("detected_at", T.TimestampType(), True),
 )
 
+# How far a batch read a segment; the greatest value of a segment counts.
+READ_MARK = _fields(
+    ("batch_id", _L, False),
+    ("source_file", _S, False),
+    ("end_offset", _L, False),
+)
+
+# Append-only log of what became of segments; the latest row of a name is its state.
+SEGMENT_CHANGE = _fields(
+    ("filename", _S, False),
+    ("status", _S, False),
+    ("bytes_size", _L, True),
+    ("sequence", _L, False),
+    ("changed_at", T.TimestampType(), True),
+)
+
+# Failures of a followed stream, one row for each time it ended.
+STREAM_FAILURE = _fields(
+    ("failed_at", T.TimestampType(), False),
+    ("batch_id", _L, True),
+    ("attempt", _I, False),
+    ("message", _S, True),
+    ("gave_up", T.BooleanType(), False),
+)
+
 # Append-only log of the lake; the latest row of a file name is its state.
 MANIFEST = _fields(
     ("filename", _S, False),

@@ -4,6 +4,9 @@
     <lake>/manifest/slot=<hour>/     append-only log of commit states, a file an entry
     <lake>/manifest_base/roll=<n>/   states rolled up, and the names of the entries they hold
     <lake>/corruptions/batch_id=<n>/ damage found while reading segments
+    <lake>/offsets/                  how far each batch read its segments
+    <lake>/segments/                 log of what became of segments
+    <lake>/failures/                 failures of the stream
 
 A commit is written first and named in the manifest afterwards, in one file
 that Spark's output committer puts in place with a rename. Readers take their
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 from ..functions.genai import with_promoted
 from ..functions.times import day_of
 from ..operators.lakefiles import COMMITTED, COMPACTED, compaction_plan, current_manifest
-from ..schema import CORRUPTION, MANIFEST, SPAN
+from ..operators.segments import changed_segments, highest_offsets, segment_lifecycle, segment_progress, segment_states
+from ..schema import CORRUPTION, MANIFEST, READ_MARK, SEGMENT_CHANGE, SPAN, STREAM_FAILURE
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 _LAKE = T.StructType(SPAN.fields + [
@@ -128,6 +132,71 @@ def corruptions(spark: SparkSession, lake: str) -> DataFrame:
     return _table(spark, f"{lake}/corruptions", CORRUPTION)
 
 
+def _appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a folder of folders, whatever their names."""
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_marks(spark: SparkSession, lake: str) -> DataFrame:
+    """batch_id, source_file, end_offset as the batches wrote them."""
+    return _appended(spark, marks_path(lake), READ_MARK)
+
+
+def marks_path(lake: str) -> str:
+    return f"{lake}/offsets"
+
+
+def read_offsets(spark: SparkSession, lake: str) -> DataFrame:
+    """source_file, max_offset: the high-water mark of each segment, also when nothing runs."""
+    return highest_offsets(read_marks(spark, lake).select("source_file", F.col("end_offset").alias("max_offset")))
+
+
+def write_marks(spark: SparkSession, lake: str, batch_id: int, ends: dict[str, int]) -> None:
+    """Note how far a batch read its segments; a batch that is repeated overwrites its own note."""
+    if ends:
+        rows = [(batch_id, name, end) for name, end in sorted(ends.items())]
+        spark.createDataFrame(rows, READ_MARK).coalesce(1).write.mode("overwrite").parquet(f"{marks_path(lake)}/batch-{batch_id:012d}")
+
+
+def fold_marks(spark: SparkSession, lake: str) -> None:
+    """One file in place of the notes of many batches. Only the greatest mark of a segment counts,
+    so notes that were folded and not yet removed change nothing. For the one who writes the notes."""
+    marks = read_marks(spark, lake).withColumn("folder", F.regexp_extract(F.input_file_name(), r"/offsets/([^/]+)/", 1))
+    folders = [row.folder for row in marks.select("folder").distinct().collect()]
+    if len(folders) > 1:
+        most = marks.groupBy("source_file").agg(F.max("batch_id").alias("batch_id"), F.max("end_offset").alias("end_offset"))
+        most.select(*READ_MARK.fieldNames()).coalesce(1).write.parquet(f"{marks_path(lake)}/folded-{uuid.uuid4().hex}")
+        _remove(spark, [f"{marks_path(lake)}/{folder}" for folder in folders])
+
+
+def segment_changes(spark: SparkSession, lake: str) -> DataFrame:
+    """The log of what became of segments."""
+    return _appended(spark, f"{lake}/segments", SEGMENT_CHANGE)
+
+
+def log_segment_changes(spark: SparkSession, lake: str, files: DataFrame) -> None:
+    """Append the segments whose state is not the logged one: files has filename and size_bytes of those that exist."""
+    now = segment_states(segment_progress(files, read_offsets(spark, lake), corruptions(spark, lake).where("ends_segment")))
+    changed = changed_segments(segment_lifecycle(segment_changes(spark, lake)), now)
+    stamped = changed.select("*", F.lit(time.time_ns()).alias("sequence"), F.current_timestamp().alias("changed_at"))
+    stamped.coalesce(1).write.mode("append").parquet(f"{lake}/segments")
+
+
+def stream_failures(spark: SparkSession, lake: str) -> DataFrame:
+    """Failures of the followed stream, as the supervisor noted them."""
+    return _appended(spark, f"{lake}/failures", STREAM_FAILURE)
+
+
+def note_failure(spark: SparkSession, lake: str, batch_id: int | None, attempt: int, message: str, gave_up: bool) -> None:
+    row = (datetime.now(timezone.utc), batch_id, attempt, message[:4000], gave_up)
+    spark.createDataFrame([row], STREAM_FAILURE).coalesce(1).write.mode("append").parquet(f"{lake}/failures")
+
+
 def quarantined_segments(spark: SparkSession, lake: str) -> DataFrame:
     """Lifecycle changes of damaged segments: filename, status, bytes_size (what is sound), sequence."""
     return corruptions(spark, lake).where("ends_segment").select(

@@ -9,6 +9,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,8 +247,11 @@ class _Exports:
         )
 
 
-def _decoder(project_keys):
-    """Task function for mapInArrow: frames in, nested exports out."""
+def _decoder(project_keys, reached=None):
+    """Task function for mapInArrow: frames in, nested exports out.
+
+    reached, an accumulator of MaxPerName, learns the end of the last whole frame of each segment.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from google.protobuf.message import DecodeError
@@ -306,8 +310,12 @@ def _decoder(project_keys):
                 out.resources.append(resource_row(resource.resource))
                 out.scope_ends.append(len(out.scopes))
 
-        out = _Exports()
+        out, ends = _Exports(), {}
         for batch in batches:
+            if reached is not None:
+                for name, end in zip(batch.column("source_file").to_pylist(), batch.column("end_offset").to_pylist()):
+                    if end is not None:
+                        ends[name] = max(end, ends.get(name, 0))
             columns = [batch.column(n) for n in ("source_file", "source_offset", "payload", "corrupt_reason")]
             for source_file, source_offset, payload, reason in zip(*[c.to_pylist() for c in columns]):
                 if reason is None:
@@ -323,11 +331,25 @@ def _decoder(project_keys):
                     out = _Exports()
         if out.records:
             yield out.batch()
+        if reached is not None:
+            reached.add(ends)
 
     return decode
 
 
-def decode_exports(frames: DataFrame, project_keys=("project.id",)) -> DataFrame:
+class MaxPerName(AccumulatorParam):
+    """The greatest value for each name. Tasks that ran twice change nothing."""
+
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, one, other):
+        for name, value in other.items():
+            one[name] = max(value, one.get(name, 0))
+        return one
+
+
+def decode_exports(frames: DataFrame, project_keys=("project.id",), reached=None) -> DataFrame:
     """Nested resource/scope/span columns of each export.
 
     frames has source_file, source_offset, payload and corrupt_reason; damaged
@@ -335,10 +357,11 @@ def decode_exports(frames: DataFrame, project_keys=("project.id",)) -> DataFrame
     its own; its frame was whole, so the frames after it stay valid.
 
     project_keys are the attributes that may name a span's project, in order.
-    A deployment whose clients write a key of their own adds it here.
+    A deployment whose clients write a key of their own adds it here. reached is an
+    accumulator that learns how far each segment was decoded.
     """
-    columns = ["source_file", "source_offset", "payload", "corrupt_reason"]
-    return frames.select(*columns).mapInArrow(_decoder(tuple(project_keys)), DECODED)
+    columns = ["source_file", "source_offset", "payload", "corrupt_reason", *(["end_offset"] if reached is not None else [])]
+    return frames.select(*columns).mapInArrow(_decoder(tuple(project_keys), reached), DECODED)
 
 
 def flatten_exports(decoded: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ stream through in small Arrow batches. Many small segments share a task.
 """
 
 import io
-import json
 import re
 import struct
 import zlib
@@ -19,12 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import dataset
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..operators.segments import ordered_segments
 from ..schema import FRAME
 from ..session import local_path
 
@@ -33,6 +32,8 @@ SPLIT_BYTES = 128 * 1024 * 1024
 _SMALLEST_SPLIT = 1024 * 1024
 _BATCH_BYTES, _BATCH_ROWS = 8 * 1024 * 1024, 10_000
 _HEADER, _HEADER_BYTES = "<II", 8
+#: Late segments that one batch takes up.
+LATE = 100
 _ARROW = pa.schema([
     ("source_file", pa.string()),
     ("source_offset", pa.int64()),
@@ -70,29 +71,18 @@ def _file_system(path: str):
     return arrow_fs.FileSystem.from_uri(local_path(path).replace("s3a://", "s3://", 1))
 
 
-class BatchPlan:
-    """A small file with the offset of the last planned batch, and whether it is done."""
+class ReadMarks:
+    """How far each segment was read, from a table of (source_file, end_offset) in the shared folder."""
 
     def __init__(self, path: str):
         self.fs, self.path = _file_system(path)
 
-    def read(self) -> tuple[dict, bool]:
+    def load(self) -> dict[str, int]:
         if self.fs.get_file_info(self.path).type == arrow_fs.FileType.NotFound:
-            return {}, True
-        with self.fs.open_input_stream(self.path) as noted:
-            content = json.loads(noted.read())
-        return content["offset"], content["done"]
-
-    def write(self, offset: dict, done: bool) -> None:
-        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        with self.fs.open_output_stream(f"{self.path}.new") as out:
-            out.write(json.dumps({"offset": offset, "done": done}).encode())
-        self.fs.move(f"{self.path}.new", self.path)
-
-    def confirm(self) -> None:
-        offset, done = self.read()
-        if not done:
-            self.write(offset, True)
+            return {}
+        rows = dataset.dataset(self.path, filesystem=self.fs, format="parquet").to_table(columns=["source_file", "end_offset"])
+        most = rows.group_by("source_file").aggregate([("end_offset", "max")])
+        return dict(zip(most.column("source_file").to_pylist(), most.column("end_offset_max").to_pylist()))
 
 
 class _Folder:
@@ -106,7 +96,7 @@ class _Folder:
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.parallelism = int(options.get("parallelism", 1))
         self.batch_bytes = int(options.get("maxbytesperbatch", 0))
-        self.plan = BatchPlan(options["planpath"]) if options.get("planpath") else None
+        self.marks = ReadMarks(options["markspath"]) if options.get("markspath") else None
 
     def segments(self) -> list[tuple[str, int]]:
         """(name, size) in writing order."""
@@ -152,6 +142,7 @@ class _Folder:
         return at
 
     def records(self, piece: Piece) -> Iterator[tuple]:
+        # fixed values: the reasons of damage
         at = piece.start
         with self.open(piece.name, at) as handle:
             while at < piece.stop:
@@ -220,64 +211,107 @@ class WalReader(DataSourceReader):
 
 
 def read_through(offset: dict, name: str, size: int) -> int:
-    """How many bytes of a segment an offset counts."""
+    """How many bytes of a segment an offset counts, late ones aside."""
     if offset.get("through") and segment_order(name) <= segment_order(offset["through"]):
         return size
     return offset.get("open", {}).get(name, 0)
 
 
-class WalStreamReader(DataSourceStreamReader):
-    """An offset is a name and a position, however many segments there are.
+def _place(offset: dict) -> tuple:
+    """For telling which of two offsets is further."""
+    through = segment_order(offset["through"]) if offset.get("through") else (-1, -1, "")
+    return through, sorted((segment_order(n), at) for n, at in offset.get("open", {}).items())
 
-    `through` names the last segment in writing order up to which all are read in
-    full: segments are sealed in that order and don't change then. `open` holds the
-    position in the one after it, up to its last whole record, which the driver finds
-    by hopping over the headers that are new since the last poll.
+
+class WalStreamReader(DataSourceStreamReader):
+    """An offset is a name, a position and a few exceptions, however many segments there are.
+
+    `through` names the last segment in writing order up to which all are read:
+    segments are sealed in that order, as a rule. `open` holds the position in the
+    newest one, up to its last whole record, which the driver finds by hopping over the
+    headers that are new since the last poll. `late` holds what else the batch reads:
+    bytes from and to of segments at or before `through` that were listed later or
+    have grown since, LATE of them at most; others wait for the next batch. A late segment
+    may still be on its way, so it is read up to its last whole record as well.
+
+    The engine does not tell a restarted reader where it stands. What was read is
+    looked up in the table in marksPath, which the batches write before they are
+    done; a batch that has to be repeated is named by the engine itself. Without
+    the table (in a lake from before it) all that is listed first counts as read
+    once the first offset covers it.
 
     With maxBytesPerBatch an offset moves ahead by whole segments until so many
-    bytes are new. The engine does not tell a restarted reader where it stands,
-    so each offset is noted in planPath before it is handed out. Unless the note
-    is confirmed, a restarted reader with such a bound hands out the same offset
-    once more: either it was processed, then there is nothing new at first, or
-    it was lost, then it is planned again. Without a bound the offset covers all
-    that is there, which is never behind.
+    bytes are new.
     """
 
     def __init__(self, options):
         self.options = options
-        self.last: dict = {}
-        self.started = False
+        self.last: dict | None = None
+        self.marks: dict[str, int] = {}
 
     def initialOffset(self):
-        return {"through": "", "open": {}}
+        return {"through": "", "open": {}, "late": {}}
+
+    def _begin(self, folder, segments) -> None:
+        """Where the batches before ended, by the table: all before the newest segment that was read count as passed."""
+        if self.last is not None:
+            return
+        self.last = self.initialOffset()
+        self.marks = folder.marks.load() if folder.marks else {}
+        begun = [i for i, (name, _) in enumerate(segments) if self.marks.get(name)]
+        if begun:
+            newest = segments[begun[-1]][0]
+            before = segments[begun[-1] - 1][0] if begun[-1] else ""
+            self.last = {"through": before, "open": {newest: self.marks[newest]}, "late": {}}
 
     def latestOffset(self):
         folder = _Folder(self.options)
-        if folder.plan and not self.started:
-            self.last, done = folder.plan.read()
-            if folder.batch_bytes and not done:
-                self.started = True
-                return self.last
-        self.started = True
-        end = self._end(folder)
-        if folder.plan and end != self.last:
-            folder.plan.write(end, done=False)
+        segments = folder.segments()
+        self._begin(folder, segments)
+        late, taken = self._late(folder, segments)
+        end = self._end(folder, segments, taken) | {"late": late}
+        if not late and _place(end) == _place(self.last):
+            return self.last
+        for name, size in segments:
+            self._mark(name, read_through(end, name, size))
+        for name, (_, stop) in late.items():
+            self._mark(name, stop)
         self.last = end
         return end
 
-    def _end(self, folder) -> dict:
-        through, opened = self.last.get("through", ""), self.last.get("open", {})
-        after = [s for s in folder.segments() if read_through({"through": through}, *s) < s[1]]
-        taken, limit = 0, folder.batch_bytes
+    def _mark(self, name: str, at: int) -> None:
+        if at > self.marks.get(name, 0):
+            self.marks[name] = at
+
+    def _late(self, folder, segments) -> tuple[dict, int]:
+        through, late, taken = self.last["through"], {}, 0
+        for name, size in segments if through else ():
+            if segment_order(name) > segment_order(through):
+                break
+            had = self.marks.get(name, 0)
+            if size > had and len(late) < LATE and not (folder.batch_bytes and taken >= folder.batch_bytes):
+                stop = folder.last_boundary(name, had, size)
+                if stop > had:
+                    late[name] = [had, stop]
+                    taken += stop - had
+        return late, taken
+
+    def _end(self, folder, segments, taken: int) -> dict:
+        through, opened, limit = self.last["through"], self.last["open"], folder.batch_bytes
+        after = [s for s in segments if not through or segment_order(s[0]) > segment_order(through)]
+
+        def so_far():
+            return {name: at for name, at in opened.items() if not through or segment_order(name) > segment_order(through)}
+
         for name, size in after[:-1]:  # sealed, in writing order
             if limit and taken >= limit:
-                return {"through": through, "open": {n: at for n, at in opened.items() if not through or segment_order(n) > segment_order(through)}}
+                return {"through": through, "open": so_far()}
             taken += size - opened.get(name, 0)
             through = name
-        position = {}
+        position = so_far()
         for name, size in after[-1:]:
             before = min(opened.get(name, 0), size)
-            if not limit or taken < limit:
+            if size > before and not (limit and taken >= limit):
                 before = size if folder.strict else folder.last_boundary(name, before, size)
             if before:
                 position[name] = before
@@ -285,8 +319,15 @@ class WalStreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         folder = _Folder(self.options)
-        pieces = [Piece(name, read_through(start, name, size), read_through(end, name, size)) for name, size in folder.segments()]
-        return folder.tasks([p for p in pieces if p.stop > p.start]) or [SegmentTask([])]
+        segments = folder.segments()
+        self._begin(folder, segments)
+        pieces = [Piece(name, read_through(start, name, size), read_through(end, name, size)) for name, size in segments]
+        pieces = [p for p in pieces if p.stop > p.start] + [Piece(name, *bounds, open_tail=True) for name, bounds in end.get("late", {}).items()]
+        for piece in pieces:
+            self._mark(piece.name, piece.stop)
+        if _place(end) > _place(self.last):  # a batch from before the restart
+            self.last = end
+        return folder.tasks(pieces) or [SegmentTask([])]
 
     def read(self, partition):
         return _Folder(self.options).batches(partition)
@@ -336,33 +377,18 @@ def stream_wal(
     max_record_bytes: int = MAX_RECORD_BYTES,
     strict: bool = False,
     max_bytes_per_batch: int = 0,
-    plan_path: str = "",
+    marks_path: str = "",
 ) -> DataFrame:
     """The same as an unbounded stream that follows the folder.
 
-    max_bytes_per_batch bounds a micro-batch, to whole segments; it needs a file
-    name in plan_path that lives and dies with the checkpoint.
+    max_bytes_per_batch bounds a micro-batch, to whole segments. marks_path names the table
+    of (source_file, end_offset) in which the batches note how far they read.
     """
     options = _options(spark, path, max_record_bytes, strict)
-    options |= {"maxBytesPerBatch": max_bytes_per_batch, "planPath": plan_path}
+    options |= {"maxBytesPerBatch": max_bytes_per_batch, "marksPath": marks_path}
     return spark.readStream.format("wal").options(**options).load()
 
 
-def segment_offsets(spark: SparkSession, path: str, offset: dict) -> DataFrame:
-    """source_file, max_offset: how far each present segment is read at a stream's offset."""
-    through, opened = offset.get("through"), offset.get("open") or {}
-    place = F.struct("seg_nanos", "seg_seq", "filename")
-    position = F.lit(0).cast("bigint")
-    for name, at in opened.items():  # one segment
-        position = F.when(F.col("filename") == name, F.lit(at).cast("bigint")).otherwise(position)
-    if through:
-        nanos, number, name = segment_order(through)
-        key = F.struct(F.lit(nanos).cast("bigint").alias("seg_nanos"), F.lit(number).cast("bigint").alias("seg_seq"), F.lit(name).alias("filename"))
-        position = F.when(place <= key, F.col("size_bytes")).otherwise(position)
-    rows = ordered_segments(list_segments(spark, path)).select(F.col("filename").alias("source_file"), position.alias("max_offset"))
-    return rows.where("max_offset > 0")
-
-
 def list_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segment files and their sizes. The contents are not read."""
     return (

@@ -1,32 +1,30 @@
 """Segments to span lake as one Structured Streaming query."""
 
-import json
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lakefiles import current_manifest, recent_corruptions, storage_status
 from ..sources import lake as lakes
-from ..sources.otlp import decode_exports, flatten_exports
-from ..sources.wal import MAX_RECORD_BYTES, BatchPlan, list_segments, segment_offsets, stream_wal
+from ..sources.otlp import MaxPerName, decode_exports, flatten_exports
+from ..sources.wal import MAX_RECORD_BYTES, list_segments, stream_wal
 
 POLL = {"processingTime": "2 seconds"}
 DRAIN = {"availableNow": True}
 _MALFORMED = "malformed"
 
 
-def _plan_path(lake: str) -> str:
-    return f"{lake}/_checkpoint/wal-plan.json"
+#: Batches after which their notes are folded and the state of segments is logged.
+UPKEEP_BATCHES = 64
 
 
-def _batch_writer(lake: str, max_records_per_file: int, project_keys, written: list[int]):
-    """foreachBatch function. Order of effects: data, damage, then the manifest
-    entry that makes the batch visible; the checkpoint follows after that. Only
-    the first batch of a run can be a replay: if the manifest has it already it
-    is skipped, otherwise it overwrites its own leftovers. Damaged segments are
-    looked up when the run begins and whenever a batch has found new ones."""
+def _batch_writer(wal: str, lake: str, max_records_per_file: int, project_keys, written: list[int]):
+    """foreachBatch function. Order of effects: data, damage, how far the segments
+    are read, then the manifest entry that makes the batch visible; the checkpoint
+    follows after that. Only the first batch of a run can be a replay: if the
+    manifest has it already it is skipped, otherwise it overwrites its own
+    leftovers. Damaged segments are looked up when the run begins and whenever a
+    batch has found new ones."""
     begun, damaged = False, None
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -42,14 +40,16 @@ def _batch_writer(lake: str, max_records_per_file: int, project_keys, written: l
             return
         # damage found by an earlier batch ends the segment for good
         frames = batch.join(damaged, "source_file", "left_anti") if isinstance(damaged, DataFrame) else batch
-        decoded = decode_exports(frames, project_keys)
+        reached = spark.sparkContext.accumulator({}, MaxPerName())
+        decoded = decode_exports(frames, project_keys, reached)
         seen = Observation(f"damage-{name}")
         watched = decoded.observe(seen, F.count("corrupt_reason").alias("damaged"))
         rows = lakes.write_commit(flatten_exports(watched), lake, name, max_records_per_file)
+        ends = dict(reached.value)
         if seen.get["damaged"]:
             damaged = None
-            (
-                decoded.where(F.col("corrupt_reason").isNotNull())
+            events = (
+                decode_exports(frames, project_keys).where(F.col("corrupt_reason").isNotNull())
                 .select(
                     "source_file",
                     "source_offset",
@@ -57,16 +57,28 @@ def _batch_writer(lake: str, max_records_per_file: int, project_keys, written: l
                     (~F.col("corrupt_reason").startswith(_MALFORMED)).alias("ends_segment"),
                     F.current_timestamp().alias("detected_at"),
                 )
-                .write.mode("overwrite")
-                .parquet(f"{lake}/corruptions/batch_id={batch_id}")
             )
+            path = f"{lake}/corruptions/batch_id={batch_id}"
+            events.write.mode("overwrite").parquet(path)
+            # what follows the damage is never read, so the segment is done with as it is now
+            ended = spark.read.schema(events.schema).parquet(path).where("ends_segment").select(F.col("source_file").alias("filename"))
+            ends |= {row.filename: row.size_bytes for row in list_segments(spark, wal).join(ended, "filename", "left_semi").collect()}
+        lakes.write_marks(spark, lake, batch_id, ends)
         if rows:
             lakes.publish(spark, lake, name, rows)
             written.append(rows)
+        if batch_id % UPKEEP_BATCHES == UPKEEP_BATCHES - 1:
+            upkeep(spark, wal, lake)
 
     return write
 
 
+def upkeep(spark: SparkSession, wal: str, lake: str) -> None:
+    """Fold the batches' notes and log what became of the segments."""
+    lakes.fold_marks(spark, lake)
+    lakes.log_segment_changes(spark, lake, list_segments(spark, wal))
+
+
 def materialize(
     spark: SparkSession,
     wal_path: str,
@@ -86,9 +98,9 @@ def materialize(
     batch size, but what a failed driver has to do again does. The checkpoint
     lies in the lake, since both belong together.
     """
-    writer = _batch_writer(lake, max_records_per_file, tuple(project_keys), [] if written is None else written)
+    writer = _batch_writer(wal_path, lake, max_records_per_file, tuple(project_keys), [] if written is None else written)
     return (
-        stream_wal(spark, wal_path, max_record_bytes, strict, max_bytes_per_batch, _plan_path(lake))
+        stream_wal(spark, wal_path, max_record_bytes, strict, max_bytes_per_batch, lakes.marks_path(lake))
         .writeStream.foreachBatch(writer)
         .option("checkpointLocation", f"{lake}/_checkpoint")
         .trigger(**(trigger or POLL))
@@ -103,51 +115,25 @@ def materialize_available(spark: SparkSession, wal_path: str, lake: str, **optio
     a failed driver repeats one batch at most.
     """
     written: list[int] = []
-    idle = 0
     while True:
         query = materialize(spark, wal_path, lake, trigger=DRAIN, written=written, **options)
         query.awaitTermination()
-        BatchPlan(_plan_path(lake)).confirm()  # the run ended well, so its batch is done
-        if not options.get("max_bytes_per_batch"):
-            break
-        # the first run after a failure may find its batch done already
-        idle = 0 if query.lastProgress and query.lastProgress.numInputRows else idle + 1
-        if idle == 2:
+        read = query.lastProgress.numInputRows if query.lastProgress else 0
+        if not (read and options.get("max_bytes_per_batch")):
             break
+    if written:
+        lakes.log_segment_changes(spark, lake, list_segments(spark, wal_path))
     return sum(written)
 
 
-def checkpoint_offsets(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
-    """How far each segment is read, from the lake's checkpoint: also when nothing runs."""
-    number = F.col("_metadata.file_name").cast("bigint").alias("n")
-    try:
-        finished = spark.read.text(f"{lake}/_checkpoint/commits").select(number).distinct()
-        planned = spark.read.text(f"{lake}/_checkpoint/offsets", wholetext=True).select(number, "value")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return segment_offsets(spark, wal_path, {})
-    last = planned.join(finished, "n").agg(F.max_by("value", "n").alias("value")).first().value
-    # a version line, a line about the batch, a line per source
-    return segment_offsets(spark, wal_path, json.loads(last.split("\n")[2]) if last else {})
-
-
 def system_status(spark: SparkSession, wal_path: str, lake: str) -> DataFrame:
     """storage_status of a deployment: one row, with the latest ten damage events."""
     projects = lakes.committed_spans(spark, lake).where("project_id IS NOT NULL").select("project_id").distinct()
     damage = lakes.corruptions(spark, lake)
     state = storage_status(
-        list_segments(spark, wal_path), checkpoint_offsets(spark, wal_path, lake), lakes.list_commits(spark, lake),
+        list_segments(spark, wal_path), lakes.read_offsets(spark, lake), lakes.list_commits(spark, lake),
         current_manifest(lakes.manifest_log(spark, lake)), damage, projects,
     )
     event = F.struct(F.col("detected_at"), F.col("batch_id"), F.col("source_file"), F.col("source_offset"), F.col("reason"))
     latest = recent_corruptions(damage).agg(F.collect_list(event).alias("latest_corruptions"))
     return state.withColumn("_one", F.lit(1)).join(latest.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
-def progress_offsets(spark: SparkSession, query: StreamingQuery, wal_path: str) -> DataFrame:
-    """How far each segment is read, from the progress of the query."""
-    progress = query.lastProgress
-    # the raw JSON: the parsed object turns offsets into Python text
-    end = json.loads(progress.json)["sources"][0]["endOffset"] if progress else {}
-    return segment_offsets(spark, wal_path, end or {})

@@ -11,7 +11,7 @@ from exports import one_span, record, span, export, write
 
 from spanloom.operators.lakefiles import current_manifest, orphan_files
 from spanloom.sources import lake as lakes
-from spanloom.streaming.materialize import materialize, materialize_available, progress_offsets
+from spanloom.streaming.materialize import materialize, materialize_available
 
 
 @pytest.fixture
@@ -155,7 +155,7 @@ def test_polling_follows_a_writer(spark, place):
     while time.time() < deadline and len(ids(spark, lake)) < 6:
         time.sleep(0.3)
     query.processAllAvailable()
-    offsets = progress_offsets(spark, query, str(wal)).collect()
+    offsets = lakes.read_offsets(spark, lake).collect()
     query.stop()
     assert len(ids(spark, lake)) == len(set(ids(spark, lake))) == 6
     assert offsets[0].max_offset == (wal / "wal-1-0.wal").stat().st_size
@@ -305,17 +305,17 @@ def test_large_commits_are_not_compacted_again(spark, place):
 
 def test_status_of_a_real_lake(spark, place):
     from spanloom.operators.lakefiles import recent_corruptions
-    from spanloom.streaming.materialize import checkpoint_offsets, system_status
+    from spanloom.streaming.materialize import system_status
 
     wal, lake = place
     wal.mkdir()
-    assert checkpoint_offsets(spark, str(wal), lake).isEmpty()
+    assert lakes.read_offsets(spark, lake).isEmpty()
     good = record(one_span(1))
     write(wal, "wal-1-0.wal", good, struct.pack("<II", 3, 1) + b"bad")
     materialize_available(spark, str(wal), lake)
     write(wal, "wal-2-0.wal", record(one_span(2)), record(one_span(3))[:4])
     materialize_available(spark, str(wal), lake)
-    assert {tuple(r) for r in checkpoint_offsets(spark, str(wal), lake).collect()} == {("wal-1-0.wal", len(good) + 11), ("wal-2-0.wal", len(record(one_span(2))))}
+    assert {tuple(r) for r in lakes.read_offsets(spark, lake).collect()} == {("wal-1-0.wal", len(good) + 11), ("wal-2-0.wal", len(record(one_span(2))))}
     state = system_status(spark, str(wal), lake).first()
     assert (state.status, state.segment_count, state.fully_materialized_segments, state.file_count, state.total_corruption_events) == ("degraded", 2, 1, 2, 1)
     assert [(e.source_file, e.source_offset) for e in state.latest_corruptions] == [("wal-1-0.wal", len(good))]
