@@ -36,8 +36,8 @@ from spanloom.llm.units import Units, gathered, stretches
 
 #: White space as the vocabulary's pattern has it: what Python counts besides is in \x1c-\x1f.
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) - set("\x1c\x1d\x1e\x1f")
-#: Distinct units, words and pairs of tokens that a worker keeps.
-KEPT = 400_000
+#: Distinct units, words and pairs of tokens that a worker keeps. Words cost most to work out.
+UNITS_KEPT, WORDS_KEPT, PAIRS_KEPT = 400_000, 1_000_000, 600_000
 LIMIT = 1024
 PREFIXES = "row long, doc_id long, part int, last boolean, start_char long, n_chars long, start_byte long, n_bytes long, start_tokens long, n_tokens long, least long, width int, steps binary"
 
@@ -60,13 +60,19 @@ class WordPrefixes:
             self.found.add_word(token, (len(token), number))
         self.found.make_automaton()
         self.letters = byte_letters()
+        self.units = Units()
+        self.words: dict[str, bytes | tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Makes room."""
         self.units = Units()
-        self.words: dict[str, bytes | tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
         self.values, self.bounds = array.array("i"), array.array("q", [0])
+        if len(self.words) > WORDS_KEPT:
+            self.words = {}
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs = {}
 
     def spelled(self, word: str) -> str:
         return "".join([self.letters[b] for b in word.encode()])
@@ -103,11 +109,13 @@ class WordPrefixes:
     def learn(self, words: list[str]) -> None:
         """Tokens of the first 1, 2, ... characters of words (pre-tokens)."""
         for word, by_byte in zip(words, self.byte_counts([self.spelled(w) for w in words])):
-            if not word.isascii():
-                by_byte = [0, *(by_byte[end] for end in np.cumsum([len(c.encode()) for c in word]).tolist())]
             if word in ("'re", "'ve", "'ll"):
                 by_byte[2] = 2
-            del by_byte[0]
+            if word.isascii():
+                del by_byte[0]
+            else:  # where characters end: before a byte that does not go on with one
+                octets = word.encode()
+                by_byte = [n for n, octet in zip(by_byte[1:], octets[1:]) if octet & 0xC0 != 0x80] + by_byte[-1:]
             self.words[word] = bytes(by_byte) if max(by_byte) < 256 else tuple(by_byte)
 
     def counts(self, word: str) -> bytes | tuple[int, ...]:
@@ -155,7 +163,7 @@ class WordPrefixes:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all prefixes of all texts in a row, without regard to special tokens; characters of each text."""
-        if len(self.units) > KEPT or len(self.words) > KEPT or len(self.pairs) > KEPT:
+        if len(self.units) > UNITS_KEPT or len(self.words) > WORDS_KEPT or len(self.pairs) > PAIRS_KEPT:
             self.forget()
         numbers, n_units = self.units.batch(texts)
         self.learn_plain(self.units.fresh)
