@@ -272,8 +272,10 @@ class WalStreamReader(DataSourceStreamReader):
         end = self._end(folder, segments, taken) | {"late": late}
         if not late and _place(end) == _place(self.last):
             return self.last
+        passed = self.last["through"]
         for name, size in segments:
-            self._mark(name, read_through(end, name, size))
+            if not passed or segment_order(name) > segment_order(passed):
+                self._mark(name, read_through(end, name, size))
         for name, (_, stop) in late.items():
             self._mark(name, stop)
         self.last = end
