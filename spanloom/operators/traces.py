@@ -59,11 +59,22 @@ def trace_list(spans: DataFrame, project_id=None, service=None, limit=100) -> Da
     )
 
 
-def trace_detail(spans: DataFrame, trace_id: str, project_id=None) -> DataFrame:
-    """All spans of one trace by start time; no rows when there is no such trace."""
+def between(spans: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Spans that start from `since` to before `until`, in nanoseconds; days are compared as well where the rows have them, which prunes folders."""
+    start = F.col("start_time_unix_nano")
+    limits = [None if since is None else start >= F.lit(since), None if until is None else start < F.lit(until)]
+    if "start_date" in spans.columns:
+        day = F.col("start_date")
+        limits += [None if since is None else day >= day_of(F.lit(since)), None if until is None else day <= day_of(F.lit(until))]
+    return spans.where(all_of(*limits))
+
+
+def trace_detail(spans: DataFrame, trace_id: str, project_id=None, since: int | None = None, until: int | None = None) -> DataFrame:
+    """All spans of one trace by start time, or those that start within a time range; no rows when there is no such trace."""
     # the id is compared even when empty: spans may carry an empty trace id
     return (
-        spans.where(all_of(F.col("trace_id") == F.lit(trace_id), equals("project_id", project_id)))
+        between(spans, since, until)
+        .where(all_of(F.col("trace_id") == F.lit(trace_id), equals("project_id", project_id)))
         .select(*SPAN.fieldNames())
         .orderBy("start_time_unix_nano", "span_id")
     )

@@ -82,15 +82,15 @@ def encode_exports(spans: DataFrame, position: str) -> DataFrame:
     )
 
 
-def write_segments(records: DataFrame, label: str) -> str:
-    """Write a segment per source_file; returns the folder.
+def write_segments(records: DataFrame, label: str, folder: str | None = None) -> str:
+    """Write a segment per source_file, into a new folder or over those of a given one; returns the folder.
 
     records has source_file, position, payload and optionally fault: 'crc' spoils
     the checksum, 'zero' writes an empty record, 'long' claims too great a
     length, 'cut' ends the segment within the payload.
     """
     spark = records.sparkSession
-    folder = scratch_path(spark, label)
+    folder = folder or scratch_path(spark, label)
     target = local_path(folder).replace("s3a://", "s3://", 1)
     with_fault = "fault" in records.columns
 

@@ -132,7 +132,7 @@ def corruptions(spark: SparkSession, lake: str) -> DataFrame:
     return _table(spark, f"{lake}/corruptions", CORRUPTION)
 
 
-def _appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _appended(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of a folder of folders, whatever their names."""
     try:
         return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
@@ -296,6 +296,12 @@ def _commit_rows(spark: SparkSession, lake: str, names: list[str]) -> DataFrame:
     return spark.read.schema(_LAYOUT).option("basePath", root).parquet(*[f"{root}/commit={name}" for name in sorted(names)])
 
 
+def live_commits(spark: SparkSession, lake: str) -> list[str]:
+    """Names of the commits that count now. Metadata: compaction keeps the list short."""
+    live = current_manifest(manifest_log(spark, lake)).where(F.col("status") == COMMITTED)
+    return sorted(row.filename for row in live.select("filename").collect())
+
+
 def lake_spans(
     spark: SparkSession, lake: str, first_day: str | None = None, last_day: str | None = None, keep_day: bool = False
 ) -> DataFrame:
@@ -306,8 +312,7 @@ def lake_spans(
     of the lake. It is metadata: compaction keeps it short. With days given,
     folders of other days are not read.
     """
-    live = current_manifest(manifest_log(spark, lake)).where(F.col("status") == COMMITTED)
-    rows = _commit_rows(spark, lake, [row.filename for row in live.select("filename").collect()])
+    rows = _commit_rows(spark, lake, live_commits(spark, lake))
     day = F.col("start_date")
     if first_day:
         rows = rows.where(day >= F.lit(first_day).cast("date"))

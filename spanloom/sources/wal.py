@@ -232,7 +232,8 @@ class WalStreamReader(DataSourceStreamReader):
     headers that are new since the last poll. `late` holds what else the batch reads:
     bytes from and to of segments at or before `through` that were listed later or
     have grown since, LATE of them at most; others wait for the next batch. A late segment
-    may still be on its way, so it is read up to its last whole record as well.
+    may still be on its way, so it is read up to its last whole record as well. What lies at or
+    before `since`, where the reader stood when it made the offset, is read as late or not at all.
 
     The engine does not tell a restarted reader where it stands. What was read is
     looked up in the table in marksPath, which the batches write before they are
@@ -250,7 +251,7 @@ class WalStreamReader(DataSourceStreamReader):
         self.marks: dict[str, int] = {}
 
     def initialOffset(self):
-        return {"through": "", "open": {}, "late": {}}
+        return {"through": "", "open": {}, "late": {}, "since": ""}
 
     def _begin(self, folder, segments) -> None:
         """Where the batches before ended, by the table: all before the newest segment that was read count as passed."""
@@ -262,14 +263,14 @@ class WalStreamReader(DataSourceStreamReader):
         if begun:
             newest = segments[begun[-1]][0]
             before = segments[begun[-1] - 1][0] if begun[-1] else ""
-            self.last = {"through": before, "open": {newest: self.marks[newest]}, "late": {}}
+            self.last = self.initialOffset() | {"through": before, "open": {newest: self.marks[newest]}}
 
     def latestOffset(self):
         folder = _Folder(self.options)
         segments = folder.segments()
         self._begin(folder, segments)
         late, taken = self._late(folder, segments)
-        end = self._end(folder, segments, taken) | {"late": late}
+        end = self._end(folder, segments, taken) | {"late": late, "since": self.last["through"]}
         if not late and _place(end) == _place(self.last):
             return self.last
         passed = self.last["through"]
@@ -323,7 +324,12 @@ class WalStreamReader(DataSourceStreamReader):
         folder = _Folder(self.options)
         segments = folder.segments()
         self._begin(folder, segments)
-        pieces = [Piece(name, read_through(start, name, size), read_through(end, name, size)) for name, size in segments]
+        since = end.get("since")
+        pieces = [
+            Piece(name, read_through(start, name, size), read_through(end, name, size))
+            for name, size in segments
+            if not since or segment_order(name) > segment_order(since)
+        ]
         pieces = [p for p in pieces if p.stop > p.start] + [Piece(name, *bounds, open_tail=True) for name, bounds in end.get("late", {}).items()]
         for piece in pieces:
             self._mark(piece.name, piece.stop)

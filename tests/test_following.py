@@ -51,6 +51,18 @@ def test_late_and_late_growing_segments_are_read(spark, place, bound):
     assert ids(spark, lake).count(201) == 1 and progress(spark, wal, lake)["wal-200-0.wal"].is_deletable
 
 
+def test_a_restart_after_segments_that_come_before_all_others(spark, place):
+    """The checkpoint knows of no segment before the first one; the table shows that an earlier one has come."""
+    wal, lake = place
+    write(wal, "wal-200-0.wal", record(one_span(2)))
+    assert materialize_available(spark, str(wal), lake) == 1
+    for n in (100, 150, 300, 400):
+        write(wal, f"wal-{n}-0.wal", record(one_span(n)))
+    assert materialize_available(spark, str(wal), lake) == 4
+    assert materialize_available(spark, str(wal), lake) == 0
+    assert ids(spark, lake) == [2, 100, 150, 300, 400]
+
+
 def test_late_segments_while_the_stream_runs(tmp_path):
     """One reader, no table: what it has handed out it does not hand out again."""
     for n in (1, 2, 3):
