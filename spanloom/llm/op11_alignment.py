@@ -27,6 +27,7 @@ import array
 import hashlib
 import os
 import sys
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +41,8 @@ from spanloom.llm.common import slices, table, worker_state, written
 from spanloom.llm.tokens import byte_letters, vocabulary_path
 from spanloom.llm.units import Units, gathered, stretches
 
-#: Distinct units a worker keeps.
-KEPT = 400_000
+#: Distinct units a worker keeps; beyond it only those used often, half as many at most.
+KEPT = 500_000
 #: Characters of text worked on at once.
 RUN = 4 << 20
 #: Pairs whose counts may go to every worker: 17 bytes each.
@@ -116,53 +117,81 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.bytes_a = {i: bytes(byte_of[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        known = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(known.values()) + 1)
+        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.bytes_a[i] = bytes(byte_of[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.n_b = len(pieces)
-        self.forget()
-
-    def forget(self) -> None:
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, spelling)), np.int64) for spelling in (self.bytes_a, self.bytes_b))
         self.units = Units()
         self.texts: list[str] = []
         self.sound = array.array("b")
-        self.counts = {name: array.array("q") for name in COUNTS}
-        self.links, self.bounds = array.array("q"), array.array("q", [0])
+        self.counts = {name: array.array("i") for name in COUNTS}
+        self.links, self.bounds = array.array("I"), array.array("q", [0])
+
+    def forget(self) -> None:
+        """Makes room: units used often stay."""
+        kept = self.units.keep_used(KEPT // 2)
+        self.texts = [self.texts[i] for i in kept.tolist()]
+        self.sound = array.array("b", np.frombuffer(self.sound, np.int8)[kept].tobytes())
+        self.counts = {name: array.array("i", np.frombuffer(values, np.int32)[kept].tobytes()) for name, values in self.counts.items()}
+        bounds = np.frombuffer(self.bounds, np.int64)
+        sizes = bounds[kept + 1] - bounds[kept]
+        self.links = array.array("I", np.frombuffer(self.links, np.uint32)[gathered(bounds[kept], sizes)].tobytes())
+        del bounds
+        self.bounds = array.array("q", np.concatenate(([0], np.cumsum(sizes))).tobytes())
 
     def _learn(self, units: list[str]) -> None:
         """Matrices of units that are new, in one product."""
-        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         ids_b = self.b.encode([u[1:] for u in units], num_threads=1)  # it adds the space
-        for i, unit in enumerate(units):
-            octets = unit.encode()
-            sound = b"".join([self.bytes_a.get(t, b"") for t in ids_a[i]]) == octets == b"".join([self.bytes_b[t] for t in ids_b[i]])
-            self.sound.append(sound)
-            if not sound:
-                ids_a[i] = ids_b[i] = []
-        n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = ([t for own in ids for t in own] for ids in (ids_a, ids_b))
-        found = align(np.array([len(self.bytes_a[t]) for t in flat_a], np.int64), np.array([len(self.bytes_b[t]) for t in flat_b], np.int64))
+        octets = [u.encode() for u in units]
+        sound = self._sound(octets, ids_a, ids_b)
+        self.sound.extend(sound)
+        if not all(sound):
+            ids_a, ids_b = ([own if good else [] for own, good in zip(ids, sound)] for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (list(chain.from_iterable(ids)) for ids in (ids_a, ids_b))
+        found = align(self.sizes_a[np.array(flat_a, np.int64)], self.sizes_b[np.array(flat_b, np.int64)])
         unit_of = np.repeat(np.arange(len(units)), n_a)
         per_unit = [n_a, n_b, np.zeros(len(units), np.int64), *(np.bincount(unit_of[product[0]], minlength=len(units)) for product in (found.overlap, found.shared))]
         np.maximum.at(per_unit[2], unit_of, found.group_a + 1)
         last = np.maximum.accumulate(per_unit[2]) if len(units) else per_unit[2]
         per_unit[2] = np.diff(last, prepend=0)
         for name, values in zip(COUNTS, per_unit):
-            self.counts[name].frombytes(values.astype(np.int64).tobytes())
+            self.counts[name].frombytes(values.astype(np.int32).tobytes())
         row, column, _ = found.overlap
         keys = np.array(flat_a, np.int64)[row] * self.n_b + np.array(flat_b, np.int64)[column]
-        self.links.frombytes(keys.tobytes())
+        self.links.frombytes(keys.astype(np.uint32).tobytes())
         self.bounds.extend((self.bounds[-1] + np.cumsum(per_unit[3])).tolist())
         self.texts += self._spelled(flat_a, flat_b, found, per_unit[2])
 
+    def _sound(self, octets: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Which units the tokens of both sides spell: all at once, or else one by one."""
+        whole = b"".join(octets)
+        ends = np.cumsum(np.fromiter(map(len, octets), np.int64, len(octets)))
+        for ids, spelling, sizes in ((ids_a, self.bytes_a, self.sizes_a), (ids_b, self.bytes_b, self.sizes_b)):
+            flat = list(chain.from_iterable(ids))
+            at = np.concatenate(([0], np.cumsum(sizes[np.array(flat, np.int64)])))[np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+            if (at != ends).any() or b"".join(map(spelling.__getitem__, flat)) != whole:
+                break
+        else:
+            return [True] * len(octets)
+        return [b"".join([self.bytes_a[t] for t in a]) == octet == b"".join([self.bytes_b[t] for t in b]) for octet, a, b in zip(octets, ids_a, ids_b)]
+
     @staticmethod
     def _spelled(flat_a, flat_b, found: Aligned, n_groups: np.ndarray) -> list[str]:
         """The groups of each unit as text: ids of both sides, `a,a|b;a|b,b`."""
         a, b = list(map(str, flat_a)), list(map(str, flat_b))
         total = int(n_groups.sum())
         cuts_a, cuts_b = (np.searchsorted(g, np.arange(total + 1)).tolist() for g in (found.group_a, found.group_b))
-        groups = [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
+        groups = [
+            f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}"
+            for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
+        ]
         ends = np.cumsum(n_groups).tolist()
         return [";".join(groups[i:j]) for i, j in zip([0, *ends], ends)]
 
@@ -208,7 +237,7 @@ def _aligned(found: Aligner, texts: list[str | None]) -> tuple[np.ndarray, np.nd
         ends = np.cumsum(counts)
         text_of = np.repeat(np.array(of), counts)
         for k, name in enumerate(COUNTS):
-            totals[k] += np.bincount(text_of, weights=np.frombuffer(found.counts[name], np.int64)[numbers], minlength=len(texts)).astype(np.int64)
+            totals[k] += np.bincount(text_of, weights=np.frombuffer(found.counts[name], np.int32)[numbers], minlength=len(texts)).astype(np.int64)
         np.logical_and.at(sound, text_of, np.frombuffer(found.sound, np.int8)[numbers].astype(bool))
         listed = numbers.tolist()
         for i, start, end in zip(of, [0, *ends.tolist()], ends.tolist()):
@@ -219,7 +248,7 @@ def _aligned(found: Aligner, texts: list[str | None]) -> tuple[np.ndarray, np.nd
                 hashes[i].update(b";" + spelled)
         bounds = np.frombuffer(found.bounds, np.int64)
         sizes = bounds[numbers + 1] - bounds[numbers]
-        keys = np.frombuffer(found.links, np.int64)[gathered(bounds[numbers], sizes)]
+        keys = np.frombuffer(found.links, np.uint32)[gathered(bounds[numbers], sizes)].astype(np.int64)
         # text and pair in one number: pairs take 32 bits at most, see `align_documents`
         own, n = np.unique((np.repeat(text_of, sizes) << 32) + keys, return_counts=True)
         places, at = np.unique(np.concatenate((places, own)), return_inverse=True)
@@ -238,7 +267,7 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
     """Per row of docs(doc_id, text): counts, hash of the groups, distinct links (id of A x size of B's vocabulary + id of B, 4 bytes each, ascending) and their times, as a written table."""
     path_a, path_b = path_a or vocabulary_path("byte_bpe_50k.json"), path_b or vocabulary_path("piece_bpe_32k.model")
     one = Aligner(path_a, path_b)
-    if (max(one.bytes_a) + 1) * one.n_b > 1 << 32:
+    if len(one.bytes_a) * one.n_b > 1 << 32:
         raise ValueError("pairs of these vocabularies do not fit in 32 bits")
 
     def add(batches):

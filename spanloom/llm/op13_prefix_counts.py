@@ -63,12 +63,16 @@ class WordPrefixes:
         self.units = Units()
         self.words: dict[str, bytes | tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
-        self.forget()
+        self.values, self.bounds = array.array("i"), array.array("q", [0])
 
     def forget(self) -> None:
-        """Makes room."""
-        self.units = Units()
-        self.values, self.bounds = array.array("i"), array.array("q", [0])
+        """Makes room: units used often stay."""
+        kept = self.units.keep_used(UNITS_KEPT // 2)
+        bounds = np.frombuffer(self.bounds, np.int64)
+        sizes = bounds[kept + 1] - bounds[kept]
+        self.values = array.array("i", np.frombuffer(self.values, np.int32)[gathered(bounds[kept], sizes)].tobytes())
+        del bounds
+        self.bounds = array.array("q", np.concatenate(([0], np.cumsum(sizes))).tobytes())
         if len(self.words) > WORDS_KEPT:
             self.words = {}
         if len(self.pairs) > PAIRS_KEPT:

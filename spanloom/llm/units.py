@@ -38,6 +38,27 @@ class Units(dict):
         super().__init__()
         self.fresh: list[str] = []
         self.begins, self.ends = array.array("b"), array.array("b")
+        self.uses = np.zeros(0, np.int64)
+
+    def keep_used(self, most: int) -> np.ndarray:
+        """Forgets all but the units used most often (used twice at least, `most` of them at most), numbers
+        these anew in their order, and returns their numbers of before."""
+        often = np.sort(self.uses)[::-1]
+        limit = max(2, int(often[most]) + 1 if len(often) > most else 2)
+        kept = np.flatnonzero(self.uses >= limit)
+        place = np.full(len(self), -1)
+        place[kept] = np.arange(len(kept))
+        known = {key: number for key, number in zip(self, place.tolist()) if number >= 0}
+        self.clear()
+        self.update(known)
+        self.begins, self.ends = (array.array("b", np.frombuffer(a, np.int8)[kept].tobytes()) for a in (self.begins, self.ends))
+        self.uses = np.ones(len(kept), np.int64)
+        return kept
+
+    def _used(self, numbers: np.ndarray) -> None:
+        more = np.bincount(numbers, minlength=len(self))
+        more[: len(self.uses)] += self.uses
+        self.uses = more
 
     def __missing__(self, key: str) -> int:
         number = self[key] = len(self)
@@ -62,9 +83,10 @@ class Units(dict):
         first = np.zeros(len(numbers) + 1, bool)
         first[np.cumsum(counts) - counts] = True
         head = first[:-1] | (begins & np.concatenate(([0], ends[:-1]))).astype(bool)
-        if head.all():
-            return numbers, counts
-        return self._glued(pieces, numbers, counts, head)
+        if not head.all():
+            numbers, counts = self._glued(pieces, numbers, counts, head)
+        self._used(numbers)
+        return numbers, counts
 
     def _glued(self, pieces, numbers, counts, head) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that are no heads go to the unit before them."""
