@@ -160,6 +160,7 @@ def latency_percentiles(spans: DataFrame) -> DataFrame:
             "p95_ns": at(0.95),
             "p99_ns": at(0.99),
         },
+        one_key=True,
     )
     return found.select(
         F.col("n").alias("span_count"),

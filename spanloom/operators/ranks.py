@@ -13,8 +13,6 @@ from ..session import cut_lineage
 
 # Keys with more rows than this are worked on in slices.
 LARGE_KEY_ROWS = 100_000
-# A side with more rows is not broadcast.
-SMALL_ROWS = 10_000
 
 
 def split_by_size(df: DataFrame, keys: list[str], limit: int = LARGE_KEY_ROWS):
@@ -80,7 +78,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
 
 
 def values_at_ranks(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], one_key: bool = False
 ) -> DataFrame:
     """Exact order statistics per key of a BIGINT column.
 
@@ -90,7 +88,10 @@ def values_at_ranks(
     rows of the located buckets only and counts their values. A bucket is the bit
     length and the leading 17 bits: it keeps the order, there are at most 2^17 per
     bit length, and each spans a 65536th of its values' size. Negative values take
-    the mirror images of the buckets.
+    the mirror images of the buckets. Nothing runs before the result is asked for.
+
+    one_key promises that the keys have one value, so the located buckets are as few as
+    the ranks and are broadcast; otherwise Spark chooses by their size when it knows it.
     """
     size = F.when(F.col("_value") < 0, -1 - F.col("_value")).otherwise(F.col("_value"))
     valued = (
@@ -123,10 +124,8 @@ def values_at_ranks(
             F.col("_want.name").alias("_name"), F.col("_want.rank").alias("_rank"),
         )
     )
-    # few keys: their buckets go to the rows; many keys: the rows are shuffled to them
-    few = located.limit(SMALL_ROWS + 1).collect()
-    if len(few) <= SMALL_ROWS:
-        located = F.broadcast(df.sparkSession.createDataFrame(few, located.schema))
+    if one_key:
+        located = F.broadcast(located)
     upto = Window.partitionBy(*group, "_bucket", "_name").orderBy("_value")
     same = [F.col(g).eqNullSafe(F.col(f"{g}_at")) for g in group] + [F.col("_bucket") == F.col("_bucket_at")]
     hits = (
