@@ -13,13 +13,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import local_path, scratch_path
 from ..sources.otlp import message_types
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = message_types()
+#: Prefixes of keys whose values are encoded in a way that JSON has no word for.
+AS_BYTES, TWICE, UNSET = "raw.", "twice.", "unset."
+
+
+def _writers(kinds):
+    """(span, pairs): fill a span message from a row, and a list of key-value pairs from JSON text."""
 
     def any_value(value):
         made = kinds["AnyValue"]()
@@ -31,29 +36,30 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made.double_value = value
         elif isinstance(value, list):
             made.array_value.values.extend([any_value(v) for v in value])
+        elif isinstance(value, dict):
+            made.kvlist_value.SetInParent()
+            for key, inner in value.items():
+                made.kvlist_value.values.add(key=key).value.CopyFrom(any_value(inner))
+        elif isinstance(value, bytes):
+            made.bytes_value = value
         else:
             made.string_value = value
         return made
 
     def pairs(target, text):
         for key, value in json.loads(text).items():
-            target.add(key=key).value.CopyFrom(any_value(value))
-
-    def payload(row):
-        request = kinds["ExportTraceServiceRequest"]()
-        resource = request.resource_spans.add()
-        pairs(resource.resource.attributes, row["resource_attributes_json"])
-        scope = resource.scope_spans.add()
-        scope.scope.name, scope.scope.version = row["scope_name"], row["scope_version"]
-        span = scope.spans.add(
-            trace_id=bytes.fromhex(row["trace_id"]),
-            span_id=bytes.fromhex(row["span_id"]),
-            parent_span_id=bytes.fromhex(row["parent_span_id"] or ""),
-            name=row["name"],
-            kind=row["kind"],
-            start_time_unix_nano=row["start_time_unix_nano"],
-            end_time_unix_nano=row["end_time_unix_nano"],
-        )
+            if key.startswith(UNSET):
+                target.add(key=key).value.SetInParent()
+                continue
+            if key.startswith(TWICE):
+                target.add(key=key).value.CopyFrom(any_value("the first of two"))
+            target.add(key=key).value.CopyFrom(any_value(bytes.fromhex(value) if key.startswith(AS_BYTES) else value))
+
+    def fill(span, row):
+        span.trace_id, span.span_id = bytes.fromhex(row["trace_id"]), bytes.fromhex(row["span_id"])
+        span.parent_span_id = bytes.fromhex(row["parent_span_id"] or "")
+        span.name, span.kind = row["name"], row["kind"]
+        span.start_time_unix_nano, span.end_time_unix_nano = row["start_time_unix_nano"], row["end_time_unix_nano"]
         span.status.code, span.status.message = row["status_code"], row["status_message"] or ""
         pairs(span.attributes, row["attributes_json"])
         for e in json.loads(row["events_json"]):
@@ -64,6 +70,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 trace_id=bytes.fromhex(k["trace_id"]), span_id=bytes.fromhex(k["span_id"]), flags=k["flags"]
             )
             pairs(added.attributes, json.dumps(k["attributes"]))
+
+    return fill, pairs
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = message_types()
+    Request = kinds["ExportTraceServiceRequest"]
+    fill, pairs = _writers(kinds)
+
+    def payload(row):
+        request = Request()
+        resource = request.resource_spans.add()
+        pairs(resource.resource.attributes, row["resource_attributes_json"])
+        scope = resource.scope_spans.add()
+        scope.scope.name, scope.scope.version = row["scope_name"], row["scope_version"]
+        fill(scope.spans.add(), row)
         return request.SerializeToString()
 
     for batch in batches:
@@ -82,6 +104,41 @@ def encode_exports(spans: DataFrame, position: str) -> DataFrame:
     )
 
 
+def _encode_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = message_types()
+    Request = kinds["ExportTraceServiceRequest"]
+    fill, pairs = _writers(kinds)
+
+    def payload(rows):
+        request, resources, scopes = Request(), {}, {}
+        request.resource_spans.add()  # levels without content
+        for row in sorted(rows, key=lambda r: r["span_id"]):
+            shared = row["resource_attributes_json"]
+            if shared not in resources:
+                resources[shared] = request.resource_spans.add()
+                pairs(resources[shared].resource.attributes, shared)
+                resources[shared].scope_spans.add()
+            named = shared, row["scope_name"], row["scope_version"]
+            if named not in scopes:
+                scopes[named] = resources[shared].scope_spans.add()
+                scopes[named].scope.name, scopes[named].scope.version = named[1:]
+            fill(scopes[named].spans.add(), row)
+        return request.SerializeToString()
+
+    for batch in batches:
+        yield pa.record_batch(
+            [batch.column("source_file"), batch.column("position"), pa.array([payload(rows) for rows in batch.column("rows").to_pylist()], pa.binary())],
+            ["source_file", "position", "payload"],
+        )
+
+
+def encode_grouped_exports(spans: DataFrame, position: str, size: int) -> DataFrame:
+    """One export for each `size` positions: several resources, scopes and spans, and levels without any."""
+    number = F.call_function("div", F.col(position), F.lit(size)).alias("position")
+    grouped = spans.groupBy("source_file", number).agg(F.collect_list(F.struct(*spans.columns)).alias("rows"))
+    return grouped.mapInArrow(_encode_groups, "source_file string, position bigint, payload binary")
+
+
 def write_segments(records: DataFrame, label: str, folder: str | None = None) -> str:
     """Write a segment per source_file, into a new folder or over those of a given one; returns the folder.
 

@@ -174,6 +174,23 @@ _CHAT = {
 }
 
 
+# Attributes of every kind, and a project named by the span, by a vendor's key of the span, or by its resource.
+PROJECT_KEYS = ("project.id", "vendor.project")
+_NESTED = {
+    "scope_name": "concat('scope-', cast(event_id % 3 AS {STR}))",
+    "project_id": (
+        "CASE WHEN event_id % 4 = 0 THEN concat('own-', cast(event_id % 5 AS {STR})) "
+        "WHEN event_id % 4 = 1 THEN concat('vendor-', cast(event_id % 5 AS {STR})) ELSE project_id END"
+    ),
+    "attributes_json": (
+        "concat('{\"deep\": {\"inner\": {\"n\": ', cast(event_id AS {STR}), '}, \"list\": [1, {\"k\": \"v\"}, [true, 2.5]]}, \"none\": {}, ', "
+        "CASE WHEN event_id % 4 = 0 THEN concat('\"project.id\": \"own-', cast(event_id % 5 AS {STR}), '\", ') ELSE '' END, "
+        "'\"raw.id\": \"', md5(cast(event_id AS {STR})), '\", \"twice.key\": \"second\", \"unset.key\": \"\"', "
+        "CASE WHEN event_id % 4 < 2 THEN concat(', \"vendor.project\": \"vendor-', cast(event_id % 5 AS {STR}), '\"') ELSE '' END, '}')"
+    ),
+}
+
+
 def _render(columns: dict[str, str], tokens: dict[str, str]) -> list[str]:
     rendered = []
     for name, text in columns.items():
@@ -201,6 +218,18 @@ def chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*_render(_CHAT, _SPARK))
 
 
+def nested_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_spans with event_id and harder attributes, scopes and projects."""
+    spans = event_spans(spark, sf_dir, keep_event_id=True)
+    hard = {text.rsplit(" AS ", 1)[1]: text.rsplit(" AS ", 1)[0] for text in _render(_NESTED, _SPARK)}
+    return spans.selectExpr(*[f"{hard.get(name, name)} AS {name}" for name in spans.columns])
+
+
+def nested_spans_sql() -> str:
+    """The same as a table `nested` over `spans`."""
+    return f"nested AS (SELECT * REPLACE ({', '.join(_render(_NESTED, _ANSI))}) FROM spans)"
+
+
 def event_spans_sql() -> str:
     """The same spans as common table expressions for the checking engine."""
     base = ", ".join(_render({**_EVENT_BASE}, _ANSI))

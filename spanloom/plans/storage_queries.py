@@ -12,8 +12,8 @@ from ..sources.otlp import decode_exports, inspect_exports, normalize_spans
 from ..sources.wal import list_segments, read_wal
 from ..streaming.materialize import materialize_available, system_status
 from .catalog import query
-from .derived_wal import encode_exports, write_segments
-from .inputs import event_spans, event_spans_sql, table
+from .derived_wal import encode_exports, encode_grouped_exports, write_segments
+from .inputs import PROJECT_KEYS, event_spans, event_spans_sql, nested_spans, nested_spans_sql, table
 
 SPANS = f"WITH {event_spans_sql()}"
 
@@ -204,6 +204,13 @@ def _(spark, sf):
     return normalize_spans(read_wal(spark, export_segments(spark, sf))).drop("source_offset")
 
 
+@query("normalize_nested", f"{SPANS}, {nested_spans_sql()} SELECT {_DECODED_COLUMNS} FROM nested")
+def _(spark, sf):
+    """Exports of several resources, scopes and spans; key lists, bytes, unset and repeated keys; projects at all four places."""
+    records = encode_grouped_exports(nested_spans(spark, sf), "event_id", 7)
+    return normalize_spans(read_wal(spark, write_segments(records, "nested")), PROJECT_KEYS).drop("source_offset")
+
+
 @query(
     "otlp_decode",
     f"""{SPANS} SELECT source_file, nullif(service_name, '') AS service_name, project_id, resource_attributes_json,
