@@ -19,15 +19,17 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genai import with_promoted
 from ..functions.times import day_of
+from ..operators.clustering import cuts_of, z_place
 from ..operators.lakefiles import COMMITTED, COMPACTED, compaction_plan, current_manifest
 from ..operators.segments import changed_segments, highest_offsets, segment_lifecycle, segment_progress, segment_states
 from ..schema import CORRUPTION, MANIFEST, READ_MARK, SEGMENT_CHANGE, SPAN, STREAM_FAILURE
+from .wal import ReadMarks
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 _LAKE = T.StructType(SPAN.fields + [
@@ -40,6 +42,8 @@ _LAKE = T.StructType(SPAN.fields + [
 _ROLLED = T.StructType([T.StructField(f.name, f.dataType) for f in MANIFEST.fields] + [
     T.StructField("entry", T.StringType()), T.StructField("roll", T.LongType()),
 ])
+#: Columns by which compaction clusters within a day.
+CLUSTERED = ["project_id", "service_name", "trace_id"]
 #: Entries beside the roll-up from which a new one is made.
 ROLL_ENTRIES = 64
 _LAYOUT = T.StructType(_LAKE.fields + [
@@ -157,16 +161,18 @@ def read_offsets(spark: SparkSession, lake: str) -> DataFrame:
 
 
 def write_marks(spark: SparkSession, lake: str, batch_id: int, ends: dict[str, int]) -> None:
-    """Note how far a batch read its segments; a batch that is repeated overwrites its own note."""
+    """Note how far a batch read its segments; a batch that is repeated overwrites its own note.
+
+    The driver has the few rows, and the reader of segments opens the same file system, so no job is run for them.
+    """
     if ends:
-        rows = [(batch_id, name, end) for name, end in sorted(ends.items())]
-        spark.createDataFrame(rows, READ_MARK).coalesce(1).write.mode("overwrite").parquet(f"{marks_path(lake)}/batch-{batch_id:012d}")
+        ReadMarks(marks_path(lake)).write(f"batch-{batch_id:012d}", batch_id, ends)
 
 
 def fold_marks(spark: SparkSession, lake: str) -> None:
     """One file in place of the notes of many batches. Only the greatest mark of a segment counts,
     so notes that were folded and not yet removed change nothing. For the one who writes the notes."""
-    marks = read_marks(spark, lake).withColumn("folder", F.regexp_extract(F.input_file_name(), r"/offsets/([^/]+)/", 1))
+    marks = read_marks(spark, lake).withColumn("folder", F.regexp_extract(F.input_file_name(), r"/offsets/([^/]+)/[^/]+$", 1))
     folders = [row.folder for row in marks.select("folder").distinct().collect()]
     if len(folders) > 1:
         most = marks.groupBy("source_file").agg(F.max("batch_id").alias("batch_id"), F.max("end_offset").alias("end_offset"))
@@ -180,11 +186,16 @@ def segment_changes(spark: SparkSession, lake: str) -> DataFrame:
 
 
 def log_segment_changes(spark: SparkSession, lake: str, files: DataFrame) -> None:
-    """Append the segments whose state is not the logged one: files has filename and size_bytes of those that exist."""
-    now = segment_states(segment_progress(files, read_offsets(spark, lake), corruptions(spark, lake).where("ends_segment")))
-    changed = changed_segments(segment_lifecycle(segment_changes(spark, lake)), now)
+    """Append the segments whose state is not the logged one: files has filename and size_bytes of those that exist.
+
+    Each input has a row per segment, or a few; as one partition they are joined in one task without any shuffle.
+    """
+    offsets = highest_offsets(read_marks(spark, lake).coalesce(1).select("source_file", F.col("end_offset").alias("max_offset")))
+    damaged = corruptions(spark, lake).coalesce(1).where("ends_segment")
+    now = segment_states(segment_progress(files.coalesce(1), offsets, damaged))
+    changed = changed_segments(segment_lifecycle(segment_changes(spark, lake).coalesce(1)), now)
     stamped = changed.select("*", F.lit(time.time_ns()).alias("sequence"), F.current_timestamp().alias("changed_at"))
-    stamped.coalesce(1).write.mode("append").parquet(f"{lake}/segments")
+    stamped.write.mode("append").parquet(f"{lake}/segments")
 
 
 def stream_failures(spark: SparkSession, lake: str) -> DataFrame:
@@ -205,24 +216,29 @@ def quarantined_segments(spark: SparkSession, lake: str) -> DataFrame:
     )
 
 
-def list_commits(spark: SparkSession, lake: str) -> DataFrame:
-    """Commits that exist as files: filename, size_bytes, modified_at, is_tmp. Contents are not read.
-
-    A commit with an output folder of unfinished tasks is listed once more as
-    temporary, with the time of that folder.
-    """
+def _data_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """filename (of the commit), size_bytes, modified_at, is_tmp by the Parquet files below these folders."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
-        .load(f"{lake}/spans")
+        .load(paths)
     )
-    whole = (
+    return (
         files.select(F.regexp_extract("path", r"/commit=([^/]+)/", 1).alias("filename"), "length", "modificationTime")
         .groupBy("filename")
         .agg(F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("modified_at"))
         .withColumn("is_tmp", F.lit(False))
     )
+
+
+def list_commits(spark: SparkSession, lake: str) -> DataFrame:
+    """Commits that exist as files: filename, size_bytes, modified_at, is_tmp. Contents are not read.
+
+    A commit with an output folder of unfinished tasks is listed once more as
+    temporary, with the time of that folder.
+    """
+    whole = _data_files(spark, [f"{lake}/spans"])
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{lake}/spans/commit=*/_temporary")
     found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
     unfinished = [
@@ -252,13 +268,18 @@ def is_committed(spark: SparkSession, lake: str, name: str) -> bool:
 def write_commit(spans: DataFrame, lake: str, name: str, max_records_per_file: int = 0) -> int:
     """Write span files of a commit without making them visible. Returns the rows.
 
+    They are counted as they are written: the write is the last stage of its job, where
+    Spark takes the numbers of one successful attempt of each task.
+
     Rows stay in the tasks that produced them and are only sorted there: a
     micro-batch is not worth a shuffle, compaction clusters later. The model
     request values are parsed out of the JSON once, here, and kept as columns.
     """
     path = f"{lake}/spans/commit={name}"
+    counted = Observation(f"rows-{uuid.uuid4().hex}")
     (
         with_promoted(spans)
+        .observe(counted, F.count(F.lit(1)).alias("rows"))
         .withColumn("start_date", day_of("start_time_unix_nano"))
         .sortWithinPartitions("start_date", "trace_id")
         .write.mode("overwrite")
@@ -269,8 +290,7 @@ def write_commit(spans: DataFrame, lake: str, name: str, max_records_per_file: i
         .option("parquet.bloom.filter.expected.ndv#trace_id", "100000")
         .parquet(path)
     )
-    # counted from the file footers: metrics of retried tasks would count twice
-    return _table(spans.sparkSession, path, SPAN).count()
+    return counted.get["rows"]
 
 
 def publish(spark: SparkSession, lake: str, name: str, rows: int) -> None:
@@ -329,24 +349,31 @@ def committed_spans(spark: SparkSession, lake: str) -> DataFrame:
 def compact(spark: SparkSession, lake: str, max_files: int = 20, target_bytes: int = TARGET_FILE_BYTES) -> int:
     """Merge the first small commits by name into one. Returns the rows rewritten.
 
-    Commits of half the target size and more stay as they are. The new commit is range-partitioned by day and trace, so its files have
-    narrow trace ranges and a point lookup skips most of them. One manifest
-    append swaps old for new. Run one compaction at a time per lake.
+    Commits of half the target size and more stay as they are; only folders of live commits are listed.
+    The new commit is range-partitioned by day and, within a day, along a curve through project,
+    service and trace, so its files are narrow in each of the three and a filter on any of them skips
+    most. One manifest append swaps old for new. Run one compaction at a time per lake.
     """
     manifest = current_manifest(manifest_log(spark, lake))
-    if manifest.isEmpty():
+    live = live_commits(spark, lake)
+    if not live:
         return 0
-    listing = list_commits(spark, lake)
+    listing = _data_files(spark, [f"{lake}/spans/commit={name}" for name in live])
     chosen = compaction_plan(manifest, listing, max_files, below_bytes=target_bytes // 2).join(listing, "filename").collect()
     if len(chosen) < 2:
         return 0
     names = [row.filename for row in chosen]
     files = max(1, -(-sum(row.size_bytes for row in chosen) // target_bytes))
-    # start and span id as well, so that a very large trace spreads over files
-    order = ["start_date", "trace_id", "start_time_unix_nano", "span_id"]
-    merged = _commit_rows(spark, lake, names).repartitionByRange(files, *order)
+    rows = _commit_rows(spark, lake, names)
+    if files > 1:
+        rows = rows.withColumn("_place", z_place(cuts_of(rows, CLUSTERED, sum(row.record_count for row in chosen))))
+    else:
+        rows = rows.withColumn("_place", F.lit(0))
+    # trace, start and span id as well, so that one cell, or a very large trace, spreads over files
+    order = ["start_date", "_place", "trace_id", "start_time_unix_nano", "span_id"]
+    merged = rows.repartitionByRange(files, *order)
     name = f"compacted-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    rows = write_commit(merged.select(*_LAKE.fieldNames()), lake, name)
-    _append_manifest(spark, lake, [(name, rows, COMMITTED), *[(n, 0, COMPACTED) for n in names]])
+    count = write_commit(merged.select(*_LAKE.fieldNames()), lake, name)
+    _append_manifest(spark, lake, [(name, count, COMMITTED), *[(n, 0, COMPACTED) for n in names]])
     roll_manifest(spark, lake)
-    return rows
+    return count

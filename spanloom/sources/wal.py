@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyarrow import dataset
 from pyarrow import fs as arrow_fs
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -84,6 +85,18 @@ class ReadMarks:
         most = rows.group_by("source_file").aggregate([("end_offset", "max")])
         return dict(zip(most.column("source_file").to_pylist(), most.column("end_offset_max").to_pylist()))
 
+    def write(self, folder: str, batch_id: int, ends: dict[str, int]) -> None:
+        """One file that appears as a whole, in a folder of its own."""
+        names = sorted(ends)
+        rows = pa.table({
+            "batch_id": pa.array([batch_id] * len(names), pa.int64()), "source_file": pa.array(names, pa.string()), "end_offset": pa.array([ends[n] for n in names], pa.int64()),
+        })
+        self.fs.create_dir(f"{self.path}/{folder}", recursive=True)
+        unseen, seen = f"{self.path}/{folder}/_marks.parquet", f"{self.path}/{folder}/marks.parquet"
+        with self.fs.open_output_stream(unseen) as out:
+            parquet.write_table(rows, out)
+        self.fs.move(unseen, seen)
+
 
 class _Folder:
     """The segment folder on whatever file system its URI names."""
