@@ -8,6 +8,8 @@ diagonal p0, whatever lies around. Votes are summed per (text, template, diagona
 before anything is shuffled; as a bit per template place they also show what is
 covered. Neighbouring diagonals (a word more or less in between) are merged, and a
 span counts if it covers COVERED of the template's pairs within STRETCH times its length.
+Templates that share ALIKE of their pairs (versions of one licence) are told apart by
+the others: a span of such a template has to cover all its pairs that its siblings have not.
 
 The base phrases are templates as well: they count where one diagonal has all pairs.
 
@@ -47,6 +49,8 @@ NOTICES = (
 )
 NEAR = 3
 COVERED = 0.75
+#: Share of the pairs of the shorter one of two siblings that both have.
+ALIKE = 0.65
 STRETCH = 1.5
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,11 +61,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def telling(notices) -> list[int]:
+    """For each notice the places, as bits, of the word pairs that tell it from its siblings; 0 without siblings."""
+    pairs = [[*zip(words, words[1:])] for words in (text.split() for text, _ in notices)]
+    out = []
+    for own in pairs:
+        siblings = [set(other) for other in pairs if other is not own and len({*own} & {*other}) >= ALIKE * min(len({*own}), len({*other}))]
+        out.append(sum(1 << i for i, pair in enumerate(own) if not any(pair in other for other in siblings)) if siblings else 0)
+    return out
+
+
 def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
-    """pair (hash), place, bit, template, label, pairs (of the template), is_base."""
-    rows = [(i, text, label, i < len(base)) for i, (text, label) in enumerate((*base, *notices))]
-    words = spark.createDataFrame(rows, "template int, text string, label string, is_base boolean").withColumn("w", words_of(F.col("text")))
-    pairs = words.select("template", "label", "is_base", (F.size("w") - 1).alias("pairs"), F.posexplode(pair_hashes(F.col("w"))).alias("place", "pair"))
+    """pair (hash), place, bit, template, label, pairs (of the template), need (bits of the pairs that tell it from its siblings), is_base."""
+    needs = [0] * len(base) + telling(notices)
+    rows = [(i, text, label, needs[i], i < len(base)) for i, (text, label) in enumerate((*base, *notices))]
+    words = spark.createDataFrame(rows, "template int, text string, label string, need long, is_base boolean").withColumn("w", words_of(F.col("text")))
+    pairs = words.select("template", "label", "is_base", "need", (F.size("w") - 1).alias("pairs"), F.posexplode(pair_hashes(F.col("w"))).alias("place", "pair"))
     return pairs.withColumn("bit", F.expr("shiftleft(1L, place)"))
 
 
@@ -76,7 +91,7 @@ def votes(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     rolling = words.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode_outer(pair_hashes(F.col("w"))).alias("p", "pair"))
     hits = rolling.join(F.broadcast(patterns), "pair", "left")
     place = F.when(F.col("template").isNotNull(), F.col("p"))
-    return hits.groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "pairs", (place - F.col("place")).alias("diagonal")).agg(
+    return hits.groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "pairs", "need", (place - F.col("place")).alias("diagonal")).agg(
         F.bit_or("bit").alias("mask"), F.min(place).alias("first"), F.max(place).alias("last"))
 
 
@@ -86,10 +101,11 @@ def spans(voted: DataFrame) -> DataFrame:
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     # base phrases aren't merged: each diagonal is a place of its own
     cut = voted.withColumn("cut", F.when(gap.isNull() | F.col("is_base") | (gap > NEAR), 1).otherwise(0))
-    merged = cut.withColumn("span", F.sum("cut").over(order)).groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "pairs", "span").agg(
+    merged = cut.withColumn("span", F.sum("cut").over(order)).groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "pairs", "need", "span").agg(
         F.bit_or("mask").alias("mask"), F.min("first").alias("start"), (F.max("last") + 2).alias("end"))
     covered = F.bit_count("mask") / F.col("pairs")
-    sound = F.when(F.col("is_base"), covered == 1).otherwise((covered >= COVERED) & (F.col("end") - F.col("start") <= STRETCH * (F.col("pairs") + 1)))
+    told = F.col("mask").bitwiseAND(F.col("need")) == F.col("need")
+    sound = F.when(F.col("is_base"), covered == 1).otherwise((covered >= COVERED) & told & (F.col("end") - F.col("start") <= STRETCH * (F.col("pairs") + 1)))
     kept = lambda c: F.when(sound, F.col(c)).alias(c)
     return merged.select("row", "doc_id", "n_words", kept("label"), kept("is_base"), kept("start"), kept("end"), F.when(sound, covered).alias("covered"))
 
@@ -125,6 +141,16 @@ WITH docs AS (
   SELECT template, label, is_base, string_split(text, ' ') AS w FROM (VALUES {_rows((*BASE, *NOTICES))}) t(template, text, label, is_base)
 ), template_pairs AS (
   SELECT template, label, is_base, len(w) - 1 AS pairs, i - 1 AS place, w[i] || ' ' || w[i + 1] AS pair FROM templates, unnest(range(1, len(w))) u(i)
+), common AS (
+  SELECT a.template, b.template AS other, count(DISTINCT a.pair) AS n FROM template_pairs a JOIN template_pairs b ON a.pair = b.pair AND a.template <> b.template
+  WHERE NOT a.is_base AND NOT b.is_base GROUP BY ALL
+), sizes AS (
+  SELECT template, count(DISTINCT pair) AS n FROM template_pairs GROUP BY template
+), siblings AS (
+  SELECT common.template, other FROM common JOIN sizes a ON a.template = common.template JOIN sizes b ON b.template = other WHERE common.n >= {ALIKE} * least(a.n, b.n)
+), needs AS (
+  SELECT template, bit_or(1::BIGINT << place) AS need FROM template_pairs p WHERE template IN (SELECT template FROM siblings)
+    AND NOT EXISTS (SELECT 1 FROM siblings s JOIN template_pairs q ON q.template = s.other WHERE s.template = p.template AND q.pair = p.pair) GROUP BY template
 ), doc_pairs AS (
   SELECT row, i - 1 AS p, w[i] || ' ' || w[i + 1] AS pair FROM docs, unnest(range(1, len(w))) u(i)
 ), voted AS (
@@ -135,9 +161,10 @@ WITH docs AS (
 ), numbered AS (
   SELECT *, sum(cut) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM cut
 ), merged AS (
-  SELECT row, template, label, is_base, pairs, span, bit_count(bit_or(mask)) / pairs AS covered, min(first) AS start, max(last) + 2 AS stop FROM numbered GROUP BY row, template, label, is_base, pairs, span
+  SELECT row, template, label, is_base, pairs, span, bit_count(bit_or(mask)) / pairs AS covered, bit_or(mask) AS mask, min(first) AS start, max(last) + 2 AS stop FROM numbered GROUP BY row, template, label, is_base, pairs, span
 ), sound AS (
-  SELECT * FROM merged WHERE CASE WHEN is_base THEN covered = 1 ELSE covered >= {COVERED} AND stop - start <= {STRETCH} * (pairs + 1) END
+  SELECT * FROM merged LEFT JOIN needs USING (template)
+  WHERE CASE WHEN is_base THEN covered = 1 ELSE covered >= {COVERED} AND mask & coalesce(need, 0) = coalesce(need, 0) AND stop - start <= {STRETCH} * (pairs + 1) END
 )
 SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (is_base) AS n_base,
   CAST(min(start) FILTER (is_base) AS BIGINT) AS first_word, CAST(max(start) FILTER (is_base) AS BIGINT) AS last_word,

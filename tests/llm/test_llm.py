@@ -467,3 +467,22 @@ def test_pipeline_with_clashing_columns(spark, clash_dir):
         out = stage(spark, docs, clash_dir)
         assert out.columns == docs.columns
         out.collect()
+
+
+def test_sibling_licences_are_told_apart(spark):
+    from spanloom.llm import op09_licenses as op
+
+    wanted = {
+        "Licensed under the GNU General Public License, version 3.": {"gpl", "gpl-3.0"},
+        "Licensed under the GNU General Public License, version 2 or later": {"gpl", "gpl-2.0"},
+        "Licensed under the GNU General Public License": {"gpl"},  # no version named
+        "Licensed under CC BY-NC 4.0": {"cc-by-nc-4.0"},
+        "Licensed under CC BY-SA 4.0": {"cc-by-sa-4.0"},
+        "Licensed under CC BY 4.0": {"cc-by-4.0"},
+        "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": {"cc-by-nc-4.0"},
+    }
+    docs = spark.createDataFrame(list(enumerate(f"Some words before. {t} Some words after." for t in wanted)), "doc_id long, text string")
+    found = {}
+    for r in op.scan(docs).where("label IS NOT NULL").collect():
+        found.setdefault(r.doc_id, set()).add(r.label)
+    assert [found[i] for i in range(len(wanted))] == list(wanted.values())
