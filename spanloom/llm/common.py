@@ -16,6 +16,8 @@ from spanloom.session import cut_lineage, scratch_path  # noqa: F401  (for the o
 
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 SMALL_ROWS = 100_000
+#: Rows of an Arrow batch where the rows hold whole texts.
+BATCH_ROWS = 1000
 #: Interned words a Python worker keeps before it starts afresh.
 WORDS_KEPT = 400_000
 
@@ -31,6 +33,13 @@ def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Rows with whole texts go to Python in batches of `rows`, unless the session asks for fewer: a batch lies in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column of df has it."""
     taken = {c.lower() for c in df.columns}
