@@ -7,7 +7,7 @@ from exports import one_span, record, write
 
 from spanloom.operators.segments import segment_lifecycle, segment_progress
 from spanloom.sources import lake as lakes
-from spanloom.sources.wal import WalStreamReader, list_segments
+from spanloom.sources.wal import LATE, WalStreamReader, list_segments
 from spanloom.streaming import materialize as streams
 from spanloom.streaming.materialize import DRAIN, materialize_available
 from spanloom.streaming.supervise import supervise
@@ -113,6 +113,17 @@ def test_more_late_segments_than_an_offset_holds(tmp_path, monkeypatch):
     assert len(seen) == len(set(seen)) == 7 and reader.latestOffset() == start
 
 
+def test_a_drain_takes_up_all_late_segments(spark, place):
+    wal, lake = place
+    for n in (900, 901):
+        write(wal, f"wal-{n}-0.wal", record(one_span(n)))
+    assert materialize_available(spark, str(wal), lake) == 2
+    for n in range(LATE + 3):
+        write(wal, f"wal-{n + 1}-0.wal", record(one_span(n)))
+    assert materialize_available(spark, str(wal), lake) == LATE + 3
+    assert ids(spark, lake) == [*range(LATE + 3), 900, 901]
+
+
 def test_notes_are_folded(spark, place):
     wal, lake = place
     for n in range(3):
