@@ -14,8 +14,9 @@ wherever it stands, so a worker scores a distinct word once.
   n-grams seen one to four times, and probabilities are interpolated: a join with
   the context's totals and one with the next lower order, for each order.
 * Scoring. The tables go to the workers as sorted arrays of keys beside arrays of
-  log probabilities and log back-off weights. Their number is checked: if an order
-  would bring more than MODEL_ENTRIES, the model's highest order is lower.
+  log probabilities and log back-off weights, 12 bytes an entry. The order is the same
+  for every input, so scores do not hang on its size; the tables grow with the 5-grams
+  of distinct words (README), far slower than the texts.
 * Bands. Log perplexity (nats a character) of the documents that pass the base
   rules: per language the median and the spreads to the 16th and 84th percentile.
   A document is rejected above median + BAND spreads or below median - BAND spreads,
@@ -40,7 +41,6 @@ from spanloom.llm.common import WORDS_KEPT, Interned, as_bytes, checked_broadcas
 
 ORDER = 5
 SYMBOL_BITS = 12
-MODEL_ENTRIES = 8_000_000
 START, END = 1, 2
 BAND = 6.0
 BAND_FLOOR = 0.02
@@ -147,15 +147,11 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def estimate(docs: DataFrame, order: int = ORDER, entries: int = MODEL_ENTRIES) -> Model:
-    """The model of all texts of docs(text)."""
+def estimate(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of all texts of docs(text), of this order whatever their number."""
     mask = lambda n: (1 << (SYMBOL_BITS * n)) - 1
-    top = written(gram_counts(docs, order), "grams")
-    raw = top.withColumnRenamed("n", "raw")
-    while order > 1 and raw.count() > entries // 2:
-        order -= 1
-        raw = raw.groupBy(F.col("gram").bitwiseAND(F.lit(mask(order))).alias("gram")).agg(F.sum("raw").alias("raw"))
-    tables = {order: written(raw.withColumn("c", F.col("raw")), "kn")}
+    top = gram_counts(docs, order).withColumnRenamed("n", "raw")
+    tables = {order: written(top.withColumn("c", F.col("raw")), "kn")}
     for n in range(order - 1, 0, -1):
         gram = F.col("gram").bitwiseAND(F.lit(mask(n)))
         starts = F.shiftright("gram", SYMBOL_BITS * (n - 1)) == START
@@ -183,7 +179,7 @@ def estimate(docs: DataFrame, order: int = ORDER, entries: int = MODEL_ENTRIES)
             lower = joined.withColumn("suffix", suffix).join(below, "suffix").select("gram", (kept / F.col("total") + F.col("weight") * F.col("below")).alias("p"))
         lower = written(lower, "kn")
         for frame, at, values, column in ((lower, keys, logs, "p"), (per_context.withColumnRenamed("context", "gram"), contexts, weights, "weight")):
-            rows = frame.select("gram", F.log(column).cast("float").alias("x")).toArrow()  # checked against `entries` above
+            rows = frame.select("gram", F.log(column).cast("float").alias("x")).toArrow()  # of distinct n-grams, not of texts
             key = rows.column("gram").to_numpy()
             rank = np.argsort(key)
             at.append(key[rank])

@@ -201,6 +201,17 @@ def test_model_is_a_distribution(spark):
     assert abs(total + w2 * w1 * np.exp(model.unseen) - 1) < 1e-5
 
 
+def test_the_order_of_the_model_is_that_of_small_inputs(spark):
+    """Over four million distinct 5-grams, in few texts of very long words."""
+    from spanloom.llm import op03_perplexity as o
+
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(rng.integers(0x100, 0xF00, 2000).astype(np.uint32).tobytes().decode("utf-32-le") for _ in range(25))
+    docs = spark.createDataFrame([(text(),) for _ in range(84)], "text string").repartition(8)
+    model = o.estimate(docs)
+    assert len(model.keys) == o.ORDER and len(model.keys[-1]) > 4_000_000
+
+
 @pytest.mark.parametrize("where", ["odd", SMALL])
 def test_pii(spark, odd_dir, where):
     folder = odd_dir if where == "odd" else where
