@@ -58,3 +58,16 @@ def test_compaction_lists_live_commits_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lakes, "_data_files", lambda s, paths: listed.extend(paths) or data_files(s, paths))
     assert lakes.compact(spark, lake) == spans.count()
     assert sorted(p.rsplit("=", 1)[1] for p in listed) == [f"batch-{n:012d}" for n in range(3)]
+
+
+def test_a_task_of_a_compaction_has_bounded_rows(spark, tmp_path, monkeypatch):
+    lake = str(tmp_path / "lake")
+    spans = event_spans(spark, SMALL).withColumn("start_time_unix_nano", F.col("start_time_unix_nano") % 10**12)
+    for part in range(2):
+        lakes.append_spans(spans.where(f"kind % 2 = {part}"), lake, f"batch-{part:012d}")
+    total = spans.count()
+    monkeypatch.setattr(lakes, "FILE_ROWS", total // 4, raising=False)
+    assert lakes.compact(spark, lake) == total
+    rows = [pq.ParquetFile(f).metadata.num_rows for f in Path(lake, "spans").glob("commit=compacted-*/*/*.parquet")]
+    assert sum(rows) == total and max(rows) < total / 2
+    assert lakes.committed_spans(spark, lake).select("span_id").distinct().count() == total
