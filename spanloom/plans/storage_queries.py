@@ -249,7 +249,7 @@ def _lake_of_three(spark, sf):
         rows = spans.where(F.col("event_id") % 3 == part).drop("event_id")
         lakes.append_spans(rows, lake, f"batch-{part:012d}")
     # written but never published: must stay invisible
-    lakes.write_commit(spans.where("event_id % 5 = 0").drop("event_id"), lake, "batch-unfinished")
+    lakes.write_commit(spans.where("event_id % 5 = 0").drop("event_id"), lake, "batch-unfinished", spread=True)
     return lake
 
 

@@ -71,3 +71,17 @@ def test_a_task_of_a_compaction_has_bounded_rows(spark, tmp_path, monkeypatch):
     rows = [pq.ParquetFile(f).metadata.num_rows for f in Path(lake, "spans").glob("commit=compacted-*/*/*.parquet")]
     assert sum(rows) == total and max(rows) < total / 2
     assert lakes.committed_spans(spark, lake).select("span_id").distinct().count() == total
+
+
+def test_a_task_of_a_commit_has_bounded_rows(spark, tmp_path, monkeypatch):
+    lake = str(tmp_path / "lake")
+    # all in one task; a day with nearly all rows, most of them one trace, and some without a start
+    nanos = F.when(F.col("source_offset") % 1000 == 0, F.col("start_time_unix_nano")).when(F.col("kind") > 0, F.lit(5))
+    spans = event_spans(spark, SMALL).withColumns({"start_time_unix_nano": nanos, "trace_id": F.when(F.col("status_code") == 0, "a").otherwise(F.col("trace_id"))}).coalesce(1)
+    total = spans.count()
+    monkeypatch.setattr(lakes, "FILE_ROWS", total // 20)
+    assert lakes.append_spans(spans, lake, "batch-000000000000") == total
+    files = [pq.ParquetFile(f).metadata.num_rows for f in Path(lake, "spans").glob("commit=*/*/*.parquet")]
+    days = len(list(Path(lake, "spans").glob("commit=*/*")))
+    assert sum(files) == total and max(files) <= total / 10 and len(files) <= 20 + 1 + days
+    assert lakes.committed_spans(spark, lake).exceptAll(spans.select(lakes.SPAN.fieldNames())).isEmpty()
