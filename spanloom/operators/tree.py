@@ -272,112 +272,104 @@ Fold = dict[str, Callable[[Column, Column], Column]]
 def _climbed(links: DataFrame, fold: Fold, gather: str | None = None) -> DataFrame:
     """Fold columns from each span to its root by pointer doubling.
 
-    links has NODE, up (NULL at a root) and the columns of fold, which combine a
-    span's value with that of the ancestor it points to. gather names a column
+    links has node, up (NULL at a root) and the columns of fold, which combine a
+    span's value with that of the ancestor it points to; nodes are numbers, since every
+    round shuffles and stores its rows. gather names a column
     that works the other way: it is summed over all descendants. After k rounds
     it holds the sum over less than 2^k levels, and the ancestor 2^k levels up
     takes that over. Sums are taken per ancestor before the join, so a span with
     very many descendants meets one row.
 
-    The right side of each join has one row per key, so where many rows share an
+    Only open rows are joined, those that have not reached their root. The right side
+    of each join has one row per key, so where many rows share an
     ancestor adaptive execution can split the left side. While any row off the
     cycles is open, each round finishes some; once the number of open rows
     stands still, they all lie on or below a cycle, and they keep a non-NULL up.
     """
+    columns = ["node", "up", *fold, *([gather] if gather else [])]
     before = None
     while True:
-        still_open = links.where(F.col("up").isNotNull()).count()
+        open_rows = links.where(F.col("up").isNotNull())
+        still_open = open_rows.count()
         if still_open in (0, before):
             return links
         before = still_open
-        step = links.select(
-            F.col("trace_id").alias("u_trace"), F.col("span_id").alias("u_span"),
-            F.col("up").alias("u_up"), *[F.col(c).alias(f"u_{c}") for c in fold],
+        step = links.select(F.col("node").alias("u_node"), F.col("up").alias("u_up"), *[F.col(c).alias(f"u_{c}") for c in fold])
+        climbed = open_rows.join(step, F.col("up") == F.col("u_node")).select(
+            "node", F.col("u_up").alias("up"), *[f(F.col(c), F.col(f"u_{c}")).alias(c) for c, f in fold.items()], *([gather] if gather else []),
         )
-        joined = links.join(
-            step, (F.col("trace_id") == F.col("u_trace")) & (F.col("up") == F.col("u_span")), "left"
-        )
-        columns = {
-            c: F.when(F.col("u_span").isNull(), F.col(c)).otherwise(f(F.col(c), F.col(f"u_{c}")))
-            for c, f in fold.items()
-        }
+        further = climbed.unionByName(links.where(F.col("up").isNull()).select(*columns))
         if gather:
-            gained = (
-                links.where(F.col("up").isNotNull())
-                .groupBy(F.col("trace_id").alias("g_trace"), F.col("up").alias("g_span"))
-                .agg(F.sum(gather).alias("gain"))
-            )
-            joined = joined.join(
-                gained, (F.col("trace_id") == F.col("g_trace")) & (F.col("span_id") == F.col("g_span")), "left"
-            )
-            columns[gather] = F.col(gather) + F.coalesce("gain", F.lit(0))
-        links = cut_lineage(
-            joined.select(*NODE, F.col("u_up").alias("up"), *[c.alias(n) for n, c in columns.items()])
-        )
+            gained = open_rows.groupBy(F.col("up").alias("g_node")).agg(F.sum(gather).alias("gain"))
+            further = further.join(gained, F.col("node") == F.col("g_node"), "left").withColumn(gather, F.col(gather) + F.coalesce("gain", F.lit(0)))
+        links = cut_lineage(further.select(*columns))
 
 
 def _large_trees(nodes: DataFrame) -> DataFrame:
-    """The columns of _small_trees without ever gathering a trace."""
-    parents = nodes.select(
-        F.col("trace_id").alias("p_trace"), F.col("span_id").alias("p_span"), F.col("collapsed").alias("p_mark")
+    """The columns of _small_trees without ever gathering a trace.
+
+    Spans have numbers in between, frozen by a checkpoint; ids are as long as many numbers.
+    """
+    numbered = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    parents = numbered.select(
+        F.col("trace_id").alias("p_trace"), F.col("span_id").alias("p_span"), F.col("node").alias("up"), F.col("collapsed").alias("p_mark")
     )
     nodes = cut_lineage(
-        nodes.join(parents, _to_parent(), "left").select(
+        numbered.join(parents, _to_parent(), "left").select(
             *NODE,
             "start_time_unix_nano",
             F.col("p_span").alias("parent_span_id"),
+            "node",
+            "up",
             F.coalesce("p_mark", F.lit(False)).alias("below_mark"),
         )
     )
-    has_parent = F.col("parent_span_id").isNotNull().cast("bigint")
-    nearest_top = F.coalesce("parent_span_id", "span_id")
+    has_parent = F.col("up").isNotNull().cast("bigint")
     climbed = _climbed(
         nodes.select(
-            *NODE,
-            F.col("parent_span_id").alias("up"),
-            nearest_top.alias("root_span_id"),
+            "node",
+            "up",
+            F.coalesce("up", "node").alias("root"),
             has_parent.alias("depth"),
             F.col("below_mark").alias("ancestor_collapsed"),
             F.lit(1).cast("bigint").alias("subtree_size"),
         ),
         {
-            "root_span_id": lambda own, above: above,
+            "root": lambda own, above: above,
             "depth": lambda own, above: own + above,
             "ancestor_collapsed": lambda own, above: own | above,
         },
         gather="subtree_size",
     )
-    kids = (
-        nodes.where(F.col("parent_span_id").isNotNull())
-        .groupBy("trace_id", F.col("parent_span_id").alias("span_id"))
-        .agg(F.count(F.lit(1)).alias("child_count"))
-    )
-    placed = cut_lineage(
-        nodes.join(climbed, NODE).join(kids, NODE, "left").withColumn("alive", F.col("up").isNull())
-    )
-    upto = running_sum(
-        placed.where("alive").withColumn("_sibling", F.coalesce("parent_span_id", F.lit(""))),
-        ["trace_id", "_sibling"],
-        ["start_time_unix_nano", "span_id"],
-        F.col("subtree_size"),
-        "_upto",
+    # what never came to rest hangs below a cycle
+    alive = climbed.where(F.col("up").isNull()).drop("up")
+    # siblings have one parent, or are the roots of one trace
+    siblings = nodes.join(alive.select("node", "subtree_size"), "node").select(
+        "node", "up", F.when(F.col("up").isNull(), F.col("trace_id")).alias("_trace"), "start_time_unix_nano", "span_id", "subtree_size"
     )
+    upto = running_sum(siblings, ["_trace", "up"], ["start_time_unix_nano", "span_id"], F.col("subtree_size"), "_upto")
     # own place among the siblings; summed with that of all ancestors it is the pre-order
     shift = F.col("_upto") - F.col("subtree_size") + has_parent
     order = _climbed(
-        cut_lineage(upto.select(*NODE, F.col("parent_span_id").alias("up"), shift.alias("preorder"))),
+        cut_lineage(upto.select("node", "up", shift.alias("preorder"))),
         {"preorder": lambda own, above: own + above},
-    ).select(*NODE, "preorder")
-    alive = lambda column: F.when(F.col("alive"), F.col(column)).alias(column)
-    return placed.join(order, NODE, "left").select(
-        *NODE,
-        "parent_span_id",
-        alive("root_span_id"),
-        alive("depth"),
-        F.coalesce("child_count", F.lit(0)).cast("bigint").alias("child_count"),
-        "preorder",
-        alive("subtree_size"),
-        alive("ancestor_collapsed"),
+    ).select("node", "preorder")
+    kids = nodes.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("child_count"))
+    roots = nodes.where(F.col("up").isNull()).select(F.col("node").alias("root"), F.col("span_id").alias("root_span_id"))
+    return (
+        nodes.join(alive.join(roots, "root"), "node", "left")
+        .join(kids, "node", "left")
+        .join(order, "node", "left")
+        .select(
+            *NODE,
+            "parent_span_id",
+            "root_span_id",
+            "depth",
+            F.coalesce("child_count", F.lit(0)).cast("bigint").alias("child_count"),
+            "preorder",
+            "subtree_size",
+            "ancestor_collapsed",
+        )
     )
 
 

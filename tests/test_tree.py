@@ -168,3 +168,15 @@ def test_full_ties_of_a_span_id_are_settled_alike(spark):
             df = spark.createDataFrame(order, schema).repartition(3)
             seen.add(tuple(sorted((r.span_id, r.parent_span_id, r.depth) for r in tree.span_tree(df, limit).select("span_id", "parent_span_id", "depth").collect() if r.parent_span_id)))
     assert seen == {(("a", "r", 1), ("b", "a", 2))}
+
+
+def test_rounds_of_doubling_keep_numbers_alone(spark, monkeypatch):
+    """Trees taken apart store ids where spans are numbered and where siblings are ranked, not in every round."""
+    from spanloom.operators import ranks, tree
+
+    kept, cut = [], tree.cut_lineage
+    for module in (tree, ranks):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: kept.append(df.dtypes) or cut(df))
+    assert found(span_tree(spans_frame(spark, CHAIN + ODD), limit=1)) == {k: v[:6] for k, v in walk(CHAIN + ODD).items()}
+    with_ids = [c for c in kept if any(t == "string" for _, t in c)]
+    assert len(kept) > 12 and len(with_ids) <= 4  # the large traces, the numbers, the links, the siblings
