@@ -33,3 +33,18 @@ def test_few_rows_are_python_objects_at_once():
             span = resource.scope_spans[level].spans[0]
             assert span.start_time_unix_nano == n and [a.key for a in span.attributes] == ["a", "raw.x", "unset.y"]
             assert span.events[0].attributes[0].value.string_value == "v"
+
+
+def test_equal_attributes_are_parsed_once(monkeypatch):
+    rows = _rows(1200)
+    for n, row in enumerate(rows):
+        row["attributes_json"] = f'{{"k": {n % 2}}}'
+    parsed, loads = [], derived_wal.json.loads
+    monkeypatch.setattr(derived_wal.json, "loads", lambda text: parsed.append(text) or loads(text))
+    made = list(derived_wal._encode(iter([pa.RecordBatch.from_pylist(rows)])))
+    Request = message_types()["ExportTraceServiceRequest"]
+    spans = [Request.FromString(p).resource_spans[0].scope_spans[0].spans[0] for b in made for p in b.column("payload").to_pylist()]
+    assert [s.attributes[0].value.int_value for s in spans] == [n % 2 for n in range(1200)]
+    assert all(len(s.attributes) == 1 and s.events[0].time_unix_nano == 5 for s in spans)
+    # two forms of attributes, three resources, the events of every row
+    assert len([t for t in parsed if t.startswith("{")]) == 5 and len(parsed) == 1205
