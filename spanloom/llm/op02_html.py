@@ -160,7 +160,7 @@ def page_counts(page: str) -> tuple[Counter, dict[str, int]]:
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """host, token (hash), path (null for texts), pages, signature, chars over all pages(page_id, url, html)."""
+    """host, token (hash), path (null for texts), pages, signature, chars over all pages(page_id, host, html); a row with null token counts a host's pages."""
 
     def count(batches):
         def sent():
@@ -173,6 +173,7 @@ def token_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for page_id, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
                 counts, sizes = page_counts(page or "")
+                held.setdefault((host, None, None), [0, 0, 0])[0] += 1
                 for token, n in counts.items():
                     path = None if "\t" in token else token
                     sign = _hash(f"{page_id} {n}") >> 24  # 40 bits: sums over 2**23 pages stay in a long, and wrap beyond
@@ -191,12 +192,12 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, root (path of the content, null if there is no tag for it), texts (hashes of template texts)."""
-    # copies tell nothing about what a host's pages have in common: each distinct page counts once
-    distinct = pages.groupBy("host", F.xxhash64("html").alias("one"), F.md5("html").alias("other")).agg(F.first(F.struct("page_id", "html")).alias("page"))
-    distinct = written(distinct.select("page.page_id", "host", "page.html"), "distinct-pages")
+    # copies tell nothing about what a host's pages have in common: each distinct page counts once. It passes one shuffle and is
+    # told apart by its hash, which is the same whichever copy came first and whenever a task is repeated
+    distinct = pages.groupBy("host", F.xxhash64("html").alias("page_id"), F.unhex(F.md5("html")).alias("other")).agg(F.first("html").alias("html"))
     counted = written(token_counts(distinct), "tokens")
-    n_pages = distinct.groupBy("host").agg(F.count("*").alias("n_pages"))
-    frequent = counted.join(checked_broadcast(n_pages), "host").where(F.col("pages") >= F.greatest(F.lit(2), F.col("n_pages") * SUPPORT))
+    n_pages = counted.where("token IS NULL").select("host", F.col("pages").alias("n_pages"))
+    frequent = counted.where("token IS NOT NULL").join(checked_broadcast(n_pages), "host").where(F.col("pages") >= F.greatest(F.lit(2), F.col("n_pages") * SUPPORT))
     # an equivalence class: one signature; valid if it holds a tag
     classes = frequent.groupBy("host", "signature", "pages", "n_pages").agg(
         F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "chars"))).alias("tags"),
