@@ -164,13 +164,16 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) ->
 
 def one_per_group(docs: DataFrame, marked: DataFrame, x: str, rows: DataFrame, group: DataFrame) -> DataFrame:
     """The row of docs that stays per group(x, root, component_id), for rows(doc_id, x) and marked, docs with the column named by x."""
-    nth = free_name(marked, "nth")
+    nth, place = free_name(marked, "nth"), free_name(marked, "place")
     # the x and doc_id of the row that stays, one per group
     stays = rows.join(group, "x").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("x").alias("x"), F.first("component_id").alias("doc_id"))
-    stays = stays.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"))
-    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["__id"]) & (marked[x] == stays["__x"])).drop("__id", "__x")
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), F.xxhash64("doc_id").alias("__place"))
+    # joined by columns by which the rows then lie for the window too: a null-safe join of doc_id would move them twice
+    marked = marked.withColumn(place, F.xxhash64("doc_id"))
+    same_id = F.nullif(marked["doc_id"], stays["__id"]).isNull() & F.nullif(stays["__id"], marked["doc_id"]).isNull()
+    kept = marked.join(stays, (marked[place] == stays["__place"]) & (marked[x] == stays["__x"]) & same_id).drop("__id", "__x", "__place")
     # repeated rows: any one of them, told apart by their whole content
-    order = Window.partitionBy("doc_id", x).orderBy(F.xxhash64(*(c for c in docs.columns)))
+    order = Window.partitionBy(place, x, "doc_id").orderBy(F.xxhash64(*(c for c in docs.columns)))
     return kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
 
 
